@@ -108,6 +108,7 @@ RULES: tuple[tuple[str, Callable[[dict], np.ndarray]], ...] = (
     ("length", _length),
     ("word_length", _word_length),
     ("symbols", _above("n_symbols", "n_words", 0.1, 0.02)),
+    ("symbol_chars", _above("n_symbols", "word_chars", 0.1, 0.02)),
     ("dup_lines", _above("n_dup_lines", "n_lines", 0.3, 0.1)),
     ("repeats", _above("n_repeat_words", "n_words", 0.3, 0.15)),
     ("upper", _above("n_upper", "word_chars", 0.4, 0.1)),
@@ -130,19 +131,18 @@ def unpack(patterns: np.ndarray, n_rules: int) -> np.ndarray:
     return (patterns[:, None] // 3 ** np.arange(n_rules) % 3 - 1).astype(np.int8)
 
 
-def fit(patterns: np.ndarray, counts: np.ndarray, n_rules: int, rounds: int = 200, tolerance: float = 1e-7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def fit(patterns: np.ndarray, counts: np.ndarray, n_rules: int, rounds: int = 200, tolerance: float = 1e-7, strength: float = 0.05) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """EM over pattern counts: the posterior of each pattern, P(vote | class) as (class, rule, vote + 1), and the classes' shares.
 
-    The start trusts each rule at 0.8, and each step adds a pseudo-count of one such
-    believer for every hundred texts at most, which keeps the classes' names in place.
+    The start holds that a bad text fails one or two of the rules and passes the rest, and
+    that a good text fails hardly any.  ``strength`` of all texts count as such believers in
+    each step, which keeps the classes' names in place.
     """
     v = unpack(patterns, n_rules).astype(int) + 1
     total = max(counts.sum(), 1)
-    prior = np.full((2, n_rules, 3), 1 / 3)
-    prior[0, :, 1], prior[0, :, 2] = 0.5, 0.166
-    prior[1, :, 1], prior[1, :, 2] = 0.05, 0.616
-    prior /= prior.sum(axis=2, keepdims=True)
-    weight = min(10.0, total / 100 + 1)
+    prior = np.empty((2, n_rules, 3))
+    prior[0], prior[1] = (0.1, 0.15, 0.75), (0.05, 0.003, 0.947)  # abstains, bad, good
+    weight = 1 + strength * total
     theta, share = prior.copy(), np.array([0.2, 0.8])
     posterior, last = np.full(len(patterns), 0.5), -np.inf
     for _ in range(rounds):
