@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelframe.llm import decontamination, packing, quality, toxicity, url_filters, warc
+from labelframe.llm import decontamination, minhash, packing, quality, toxicity, url_filters, warc
 from labelframe.llm.common import shared_path, table
 
 
@@ -27,6 +27,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copy_of", "n_links")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge_quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
@@ -47,6 +51,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
     "op3_packing": op3_packing,
+    "op5_minhash": op5_minhash,
     "op6_quality_rules": op6_quality_rules,
     "op8_warc": op8_warc,
     "op9_url_filters": op9_url_filters,
