@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelframe.llm import decontamination, minhash, packing, quality, toxicity, url_filters, warc
+from labelframe.llm import decontamination, minhash, packing, quality, secrets, toxicity, url_filters, warc
 from labelframe.llm.common import shared_path, table
 
 
@@ -27,6 +27,13 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = secrets.scan(documents, secrets.train(secrets.labelled_samples(documents)))
+    counts = [F.size(secrets.of_kind(F.col("base"), k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return out.select("doc_id", *counts, F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"), secrets.listed(F.col("found")).alias("spans"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copy_of", "n_links")
 
@@ -51,6 +58,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
     "op3_packing": op3_packing,
+    "op4_secret_scans": op4_secret_scans,
     "op5_minhash": op5_minhash,
     "op6_quality_rules": op6_quality_rules,
     "op8_warc": op8_warc,
