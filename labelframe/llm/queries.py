@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelframe.llm import decontamination, minhash, packing, quality, secrets, toxicity, url_filters, warc
+from labelframe.llm import decontamination, lm, minhash, packing, quality, secrets, toxicity, url_filters, warc
 from labelframe.llm.common import shared_path, table
 
 
@@ -54,6 +54,10 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
@@ -63,6 +67,7 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op8_warc": op8_warc,
     "op9_url_filters": op9_url_filters,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 ORACLE_SQL: dict[str, str] = {}
