@@ -21,6 +21,7 @@ import re
 import zlib
 from collections import deque
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +34,11 @@ SIZE = 4096
 BLOCK = 1 << 20
 GRID = 32
 #: What a cut costs, in ids of padding: at a document's end, at a sentence's end, elsewhere.
-PENALTIES = (0, 2, 16)
+PENALTIES = (0, 1, 8)
 
-_PLAIN = re.compile(r"[!-~à-öø-ÿ]+")
-_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿ]+|[0-9]|[^a-zà-öø-ÿ0-9]+")
+_PLAIN = re.compile(r"[!-~à-öø-ÿ\n]*")
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿ]+|[0-9]|\n|[^a-zà-öø-ÿ0-9\n]+")
+_BREAK = b"\xff\xff"  # no id
 
 
 class Encoder:
@@ -47,7 +49,7 @@ class Encoder:
     new pieces go through the merges; all others go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, bound: int = 600_000):
+    def __init__(self, path: str, bound: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -68,27 +70,30 @@ class Encoder:
         self.bound = bound
 
     def _learn(self, words: set[bytes]) -> None:
-        plain, other = {}, []
-        for w in words:
-            s = w.decode("utf-8", "replace").lower()
-            if _PLAIN.fullmatch(s) and "<|" not in s:
-                plain[w] = _PIECE.findall(s)
-            else:
-                other.append(w)
-        if len(self.pieces) > self.bound:
+        plain, other = list(words), []
+        lower = b"\n".join(plain).decode("utf-8", "replace").lower()
+        if not _PLAIN.fullmatch(lower) or "<|" in lower:
+            spelt = {w: w.decode("utf-8", "replace").lower() for w in plain}
+            other = [w for w, s in spelt.items() if not _PLAIN.fullmatch(s) or "<|" in s]
+            plain = list(words.difference(other))
+            lower = "\n".join([spelt[w] for w in plain])
+        pieces = _PIECE.findall(lower)
+        if len(self.pieces) > self.bound // 2:
             self.pieces = {}
-        new = [p for p in dict.fromkeys(p for ps in plain.values() for p in ps) if p not in self.pieces]
+        self.pieces["\n"] = _BREAK
+        new = list(set(pieces).difference(self.pieces))
         for at in range(0, len(new), 20_000):
             some = new[at : at + 20_000]
-            spelt = [p if p.isascii() else "".join(self.letter[b] for b in p.encode()) for p in some]
+            spelt = [p if p.isascii() else "".join([self.letter[b] for b in p.encode()]) for p in some]
             ids = np.array(self.merges.encode(" ".join(spelt), add_special_tokens=False).ids, np.int64)
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) != len(some):
                 raise ValueError("the tokenizer does not mark the ends of words")
             raw, cuts = ids.astype("<u2").tobytes(), [0, *(2 * ends).tolist()]
-            self.pieces.update((p, raw[a:b]) for p, a, b in zip(some, cuts, cuts[1:], strict=False))
-        pieces = self.pieces
-        self.words.update((w, b"".join([pieces[p] for p in ps])) for w, ps in plain.items())
+            self.pieces.update(zip(some, [raw[a:b] for a, b in pairwise(cuts)], strict=True))
+        raw = b"".join(map(self.pieces.__getitem__, pieces))
+        breaks = (2 * np.flatnonzero(np.frombuffer(raw, "<u2") == 0xFFFF)).tolist()
+        self.words.update(zip(plain, [raw[a:b] for a, b in zip([0, *[x + 2 for x in breaks]], [*breaks, len(raw)], strict=True)], strict=bool(plain)))
         if other:
             found = self.whole.encode_batch([w.decode("utf-8", "replace") for w in other], add_special_tokens=False)
             self.words.update((w, np.array(e.ids, "<u2").tobytes()) for w, e in zip(other, found, strict=True))
@@ -119,15 +124,23 @@ def blocks(ids: Iterable, texts: Iterable, chars: int = 4_000_000) -> Iterator[t
 
 
 def cut_points(doc_ends: np.ndarray, marks: np.ndarray, total: int, grid: int = GRID) -> tuple[np.ndarray, np.ndarray]:
-    """Positions where a window may end, and their penalties; 0 comes first, ``total`` last."""
-    penalty = np.full(total + 1, -1, np.int8)
-    penalty[::grid] = PENALTIES[2]
-    penalty[marks] = PENALTIES[1]
-    penalty[doc_ends] = PENALTIES[0]
-    penalty[0] = 0
-    penalty[total] = max(0, int(penalty[total])) if penalty[total] >= 0 else PENALTIES[2]
-    at = np.flatnonzero(penalty >= 0)
-    return at, penalty[at]
+    """Positions where a window may end, and their penalties; 0 comes first, ``total`` last.
+
+    Points of the grid serve only stretches without a better place: those at least half of ``grid`` from one on either side.
+    """
+    kind = np.zeros(total + 1, np.int8)
+    kind[marks] = 2
+    kind[doc_ends] = 3
+    better = np.flatnonzero(kind)
+    spread = np.arange(grid, total, grid)
+    after = np.searchsorted(better, spread)
+    before = np.where(after > 0, better[np.maximum(after - 1, 0)], 0)
+    behind = np.where(after < len(better), better[np.minimum(after, len(better) - 1)], total)
+    kind[spread[(spread - before >= grid // 2) & (behind - spread >= grid // 2)]] = 1
+    kind[0] = 3
+    kind[total] = max(1, kind[total])
+    at = np.flatnonzero(kind)
+    return at, np.array(PENALTIES[::-1])[kind[at] - 1]
 
 
 def plan(at: np.ndarray, penalty: np.ndarray, size: int = SIZE) -> list[int]:
@@ -137,7 +150,7 @@ def plan(at: np.ndarray, penalty: np.ndarray, size: int = SIZE) -> list[int]:
     total = [0] * n
     back = [0] * n
     index = {p: i for i, p in enumerate(points)}
-    powers = [1 << k for k in range(max(0, size.bit_length() - 3), size.bit_length()) if 1 << k <= size]
+    powers = [size, size // 2]
     queue: deque[int] = deque()
     for j in range(1, n):
         i, p = j - 1, points[j]
