@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelframe.llm import decontamination, lm, minhash, packing, quality, secrets, toxicity, url_filters, warc
+from labelframe.llm import decontamination, lm, minhash, packing, quality, repeats, secrets, toxicity, url_filters, warc
 from labelframe.llm.common import shared_path, table
 
 
@@ -43,6 +43,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = shared_path(spark, "warc")
     warc.write_warc(table(spark, sf_dir, "pages"), root)
@@ -65,6 +69,7 @@ QUERIES = {
     "op4_secret_scans": op4_secret_scans,
     "op5_minhash": op5_minhash,
     "op6_quality_rules": op6_quality_rules,
+    "op7_repeats": op7_repeats,
     "op8_warc": op8_warc,
     "op9_url_filters": op9_url_filters,
     "op10_lm_scoring": op10_lm_scoring,
