@@ -78,6 +78,17 @@ def bucket_of(id_column: str | Column, modulus: int) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % modulus
 
 
+def sample_texts(texts: DataFrame, n: int, max_chars: int) -> DataFrame:
+    """(text) of the ``n`` different texts with the smallest hashes among those of at most ``max_chars`` characters.
+
+    The hashes are chosen alone; texts are then met by a broadcast of those ``n`` and copies
+    combined before they are shuffled, so no task gathers texts from many others.
+    """
+    hashed = texts.where(F.length("text") <= max_chars).select(F.xxhash64("text").alias("_h"), "text")
+    chosen = hashed.select("_h").distinct().orderBy("_h").limit(n)
+    return hashed.join(F.broadcast(chosen), "_h").groupBy("_h").agg(F.min("text").alias("text")).select("text")
+
+
 class Memo(dict):
     """A dict that computes what it lacks.  ``trim`` empties it beyond ``bound`` entries, so memory is bounded."""
 

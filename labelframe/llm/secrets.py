@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelframe.llm.common import without
+from labelframe.llm.common import sample_texts, without
 
 #: The base patterns, fixed values; letters of the first group in either case.
 KEYWORDS = ("password", "passwd", "secret", "token", "api_?key")
@@ -121,7 +121,7 @@ def labelled_samples(df: DataFrame, text_col: str = "text") -> DataFrame:
     Words come from the ``SAMPLE_DOCUMENTS`` texts of the smallest hash among those of at most ``SAMPLE_CHARS`` characters.
     """
     text = F.col("text")
-    some = df.select(F.col(f"`{text_col}`").alias("text")).where(text.isNotNull() & (F.length("text") <= SAMPLE_CHARS)).orderBy(F.xxhash64("text"), "text").limit(SAMPLE_DOCUMENTS)
+    some = sample_texts(df.select(F.col(f"`{text_col}`").alias("text")), SAMPLE_DOCUMENTS, SAMPLE_CHARS)
     some = some.withColumn("spans", base_spans(text))
     secrets = some.select(F.explode("spans.value").alias("v")).select(F.explode(F.regexp_extract_all("v", F.lit(f"{TOKEN_CLASS}{{{LEAST_TOKEN},}}"), F.lit(0))).alias("token"))
     plain = some.select(F.explode(F.regexp_extract_all(F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), f"{HEX[:-1]}{{{LEAST['hex']},}}", " "), F.lit(f"{TOKEN_CLASS}{{4,}}"), F.lit(0))).alias("token"))
