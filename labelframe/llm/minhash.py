@@ -39,6 +39,7 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 6  # at 0.8, a pair shares no band in 6 of 100,000 cases
 SIZE = BANDS * ROWS
+MARGIN = 0.15
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -127,6 +128,11 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def sketches(signature: np.ndarray) -> np.ndarray:
+    """A byte for each component; two rows agree in a byte as often as in a component, and once in 256 by chance."""
+    return (mix(signature.view(np.uint64)) >> np.uint64(56)).astype(np.uint8)
+
+
 def node_of(text: Column) -> Column:
     """The name of an exact text."""
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
@@ -136,6 +142,7 @@ def _signed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text")
         keys: list = []
+        marks: list = []
         at = 0
         while at < len(texts):
             bags, held, first = [], 0, at
@@ -143,10 +150,19 @@ def _signed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 bags.append(shingles(texts[at].as_py()))
                 held += len(bags[-1][0])
                 at += 1
-            found = band_keys(signatures(bags))
+            signature = signatures(bags)
+            found, short = band_keys(signature), sketches(signature)
+            marks += [x.tobytes() for x in short]
             keys += [found[i].tolist() if len(bags[i][0]) else [] for i in range(at - first)]
-        arrays = [batch.column("id"), batch.column("node"), pa.array(keys, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(arrays, names=["id", "node", "bands"])
+        arrays = [batch.column("id"), batch.column("node"), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["id", "node", "bands", "sketch"])
+
+
+def _estimated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SIZE) for c in ("sketch_a", "sketch_b"))
+        share = ((a == b).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(share, pa.float64())], names=["a", "b", "similarity"])
 
 
 def _verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,10 +186,14 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 class _Verified:
-    """The compared pairs (a < b), a written table that each round appends to, so that plans stay short."""
+    """The compared pairs (a < b), a written table that each round appends to, so that plans stay short.
 
-    def __init__(self, texts: DataFrame):
-        self.texts, self.spark = texts, texts.sparkSession
+    Sketches come first: a pair at the threshold looks less similar than ``threshold - MARGIN``,
+    over five standard deviations, in one of ten million cases.  All others are verified on the texts.
+    """
+
+    def __init__(self, texts: DataFrame, marks: DataFrame, threshold: float):
+        self.texts, self.marks, self.threshold, self.spark = texts, marks, threshold, texts.sparkSession
         self.path = shared_path(self.spark, "verified")
         self.schema = "a binary, b binary, similarity double"
         self.spark.createDataFrame([], self.schema).write.parquet(self.path)
@@ -181,46 +201,50 @@ class _Verified:
     def read(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
 
+    def near(self) -> DataFrame:
+        return self.read().where(F.col("similarity") >= self.threshold)
+
     def compare(self, pairs: DataFrame) -> None:
         """Verify the pairs (lead, node) that are new."""
         new = pairs.where("lead <> node").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
         new = new.join(self.read().drop("similarity"), ["a", "b"], "left_anti").select("a", "b")
-        verify(new, self.texts).groupBy("a", "b").agg(F.max("similarity").alias("similarity")).write.mode("append").parquet(self.path)
-
-    def without_near(self, rows: DataFrame, threshold: float) -> DataFrame:
-        """Rows (key, lead, node) whose pair is not similar."""
-        near = self.read().where(F.col("similarity") >= threshold).drop("similarity")
-        pair = rows.select("key", "node", F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b"))
-        return pair.join(near, ["a", "b"], "left_anti").select("key", "node")
+        own = self.marks.select(F.col("node").alias("n"), "sketch")
+        rows = new.join(own, F.col("b") == F.col("n")).select("a", "b", F.col("sketch").alias("sketch_b"))
+        rows = rows.join(own, F.col("a") == F.col("n")).select("a", "b", F.col("sketch").alias("sketch_a"), "sketch_b")
+        guessed = write_table(rows.mapInArrow(_estimated, self.schema), "guessed")
+        least = self.threshold - MARGIN
+        fresh = verify(guessed.where(F.col("similarity") >= least).select("a", "b"), self.texts)
+        fresh.unionByName(guessed.where(F.col("similarity") < least)).write.mode("append").parquet(self.path)
 
 
-def _rounds(members: DataFrame, found: _Verified, threshold: float, leaders: int = 8) -> None:
-    """Compare all members (key, node) of each bucket with leaders until every member is a leader or near one.
+def _rounds(members: DataFrame, unresolved: DataFrame, found: _Verified, leaders: int = 8) -> None:
+    """Compare members (key, node, sim) of each bucket with leaders until every unresolved one is a leader or near one.
 
-    A round takes up to ``leaders`` new leaders of a bucket, so pairs grow with the bucket's
-    members and the number of its rounds.
+    ``sim``: similarity to a text that all members of the bucket were compared with.  One minus the
+    similarity is a metric, so two members whose ``sim`` differ by more than the allowed distance
+    can't be similar and are not compared.  Leaders double in number with each round.
     """
-    unresolved = members
+    apart = 1 - found.threshold + 1e-9
     while True:
         part = F.pmod(F.xxhash64("node", "key"), F.lit(leaders))
-        leads = write_table(unresolved.groupBy("key", part.alias("part")).agg(F.min("node").alias("lead")).select("key", "lead"), "leads")
-        found.compare(members.join(leads, "key").select("lead", "node"))
-        near = found.read().where(F.col("similarity") >= threshold).drop("similarity")
-        met = unresolved.join(leads, "key")
-        pair = met.select("key", "node", "lead", F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b"))
+        leads = unresolved.groupBy("key", part.alias("part")).agg(F.min(F.struct("node", "sim")).alias("x"))
+        leads = write_table(leads.select("key", F.col("x.node").alias("lead"), F.col("x.sim").alias("lead_sim")), "leads")
+        close = F.abs(F.col("sim") - F.col("lead_sim")) <= apart
+        found.compare(members.join(leads, "key").where(close).select("lead", "node"))
+        pair = unresolved.join(leads, "key").where(close).select("key", "node", "lead", F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b"))
         own = pair.where("lead = node").select("key", "node")
-        close = pair.join(near, ["a", "b"], "left_semi").select("key", "node")
-        left = unresolved.join(own.unionByName(close).distinct(), ["key", "node"], "left_anti")
-        unresolved = write_table(left, "unresolved")
+        near = pair.join(found.near().drop("similarity"), ["a", "b"], "left_semi").select("key", "node")
+        unresolved = write_table(unresolved.join(own.unionByName(near).distinct(), ["key", "node"], "left_anti").select("key", "node", "sim"), "unresolved")
         if unresolved.isEmpty():
             return
+        leaders *= 2
 
 
 def links(signed: DataFrame, rows: DataFrame, threshold: float = SIMILARITY, small: int = 16) -> DataFrame:
-    """Verified links (a, b, similarity) between different texts, enough to connect all texts that share a bucket and are similar.
+    """Verified links (a, b, similarity) between different texts that connect the similar texts of each bucket.
 
-    ``signed``: (id, node, bands); ``rows``: (id, node, text).  A bucket's first leader is the
-    member that shares most buckets with others, in a group of copies its original.  Members
+    ``signed``: (id, node, bands, sketch); ``rows``: (id, node, text).  A bucket's first leader is
+    the member that shares most buckets with others, in a group of copies its original.  Members
     that are not near it go on: in buckets of at most ``small`` members among themselves, in
     larger ones within the finer buckets of every two bands that they share, which pairs at
     the threshold miss in 7 of 10,000 cases and looser ones mostly do.
@@ -229,32 +253,34 @@ def links(signed: DataFrame, rows: DataFrame, threshold: float = SIMILARITY, sma
     several = buckets.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
     members = write_table(buckets.join(several, "key").select("key", "node").distinct(), "members")
     sizes = members.groupBy("key").agg(F.count("*").alias("size"))
-    ranks = members.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("rank"))
-    wanted = ranks.select("node")
-    first = signed.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
-    own = [rows["node"] == first["node"], rows["id"].eqNullSafe(first["id"])]
-    texts = write_table(rows.join(first, own).select(rows["node"], "text"), "texts")
+    ranks = write_table(members.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("rank")), "ranks")
+    first = signed.join(ranks.select("node"), "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"), F.min("sketch").alias("sketch"))
+    marks = write_table(first, "marks")
+    own = [rows["node"] == marks["node"], rows["id"].eqNullSafe(marks["id"])]
+    texts = write_table(rows.join(marks, own).select(rows["node"], "text"), "texts")
     leads = members.join(ranks, "node").groupBy("key").agg(F.max(F.struct("rank", "node"))["node"].alias("lead"), F.count("*").alias("size"))
     leads = write_table(leads, "leads")
 
-    found = _Verified(texts)
-    led = members.join(leads, "key").where("lead <> node")
+    found = _Verified(texts, marks, threshold)
+    led = members.join(leads, "key").select("key", "size", "lead", "node", F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b"))
     found.compare(led.select("lead", "node"))
-    far = write_table(found.without_near(led, threshold), "far")
-    # A pair of members needs another look only if one of them at least is far from the leader, and there is a third.
-    open_ = far.select("key").distinct().join(leads.where("size > 2").select("key", "size"), "key")
-    rest = members.join(open_, "key")
-    little = write_table(rest.where(F.col("size") <= small).select("key", "node"), "little")
+    known = led.join(found.read(), ["a", "b"], "left").select("key", "size", "node", F.when(F.col("lead") == F.col("node"), 1.0).otherwise(F.col("similarity")).alias("sim"))
+    known = write_table(known, "known")
+    # A member needs another look only if it is far from the leader and there is a third.
+    open_ = known.where((F.col("sim") < threshold) & (F.col("size") > 2)).select("key").distinct()
+    rest = known.join(open_, "key")
+    far = F.col("sim") < threshold
+    little = write_table(rest.where(F.col("size") <= small).select("key", "node", "sim"), "little")
     if not little.isEmpty():
-        _rounds(little, found, threshold)
-    large = rest.where(F.col("size") > small).groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys"))  # at most BANDS keys
-    two = F.explode(F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, BANDS), lambda y: F.xxhash64(x, y)))))
-    fine = large.select("node", two.alias("key"))
-    shared = fine.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
-    fine = write_table(fine.join(shared, "key").select("key", "node"), "fine")
+        _rounds(little, little.where(far), found)
+    large = rest.where(F.col("size") > small).groupBy("node").agg(F.sort_array(F.collect_set(F.struct("key", "sim"))).alias("keys"))  # at most BANDS keys
+    two = F.explode(F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, BANDS), lambda y: F.struct(F.xxhash64(x["key"], y["key"]).alias("key"), x["sim"].alias("sim"))))))
+    fine = large.select("node", two.alias("x")).select("node", "x.key", "x.sim")
+    shared = fine.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min("sim").alias("least")).where((F.col("low") != F.col("high")) & (F.col("least") < threshold)).select("key")
+    fine = write_table(fine.join(shared, "key").select("key", "node", "sim"), "fine")
     if not fine.isEmpty():
-        _rounds(fine, found, threshold)
-    return found.read().where(F.col("similarity") >= threshold)
+        _rounds(fine, fine.where(far), found)
+    return found.near()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
@@ -268,7 +294,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("node", node_of(F.col("text")))
     kind = dict(rows.dtypes)["id"]
-    signed = write_table(rows.mapInArrow(_signed, f"id {kind}, node binary, bands array<bigint>"), "signed")
+    signed = write_table(rows.mapInArrow(_signed, f"id {kind}, node binary, bands array<bigint>, sketch binary"), "signed")
     found = write_table(links(signed, rows, threshold), "linked")
     named = components(found)
     first = signed.groupBy("node").agg(F.min("id").alias("copy_of"))
