@@ -19,6 +19,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterable, Iterator
 from itertools import pairwise
@@ -143,8 +144,11 @@ def cut_points(doc_ends: np.ndarray, marks: np.ndarray, total: int, grid: int =
     return at, np.array(PENALTIES[::-1])[kind[at] - 1]
 
 
-def plan(at: np.ndarray, penalty: np.ndarray, size: int = SIZE) -> list[int]:
-    """The cut positions of the cheapest windows from the first to the last point; neighbours are at most ``size`` apart."""
+def plan(at: np.ndarray, penalty: np.ndarray, size: int = SIZE, last: bool = False) -> list[int]:
+    """The cut positions of the cheapest windows from the first to the last point; neighbours are at most ``size`` apart.
+
+    With ``last``, the last window costs what its best split into powers of two costs.
+    """
     points, cost_at = at.tolist(), penalty.tolist()
     n = len(points)
     total = [0] * n
@@ -167,6 +171,9 @@ def plan(at: np.ndarray, penalty: np.ndarray, size: int = SIZE) -> list[int]:
             if k is not None and total[k] < best:
                 best, i = total[k], k
         total[j], back[j] = best + cost_at[j], i
+    if last:
+        near = range(bisect_left(points, points[-1] - size), n - 1)
+        back[-1] = min(near, key=lambda i: total[i] + tail_cost(points[-1] - points[i], size), default=0)
     cuts, j = [], n - 1
     while j:
         cuts.append(points[j])
@@ -174,6 +181,10 @@ def plan(at: np.ndarray, penalty: np.ndarray, size: int = SIZE) -> list[int]:
     return cuts[::-1]
 
 
+def tail_cost(length: int, size: int = SIZE) -> int:
+    return min(size - length, (length.bit_count() - 1) * PENALTIES[2])
+
+
 def split_tail(length: int, size: int = SIZE) -> list[int]:
     """The lengths of the last window: whole and padded, or as powers of two if their cuts cost less."""
     powers = [1 << k for k in range(length.bit_length() - 1, -1, -1) if length >> k & 1]
@@ -203,7 +214,7 @@ class Packer:
     def _place(self, last: bool) -> Iterator[tuple]:
         marks = np.concatenate(self.marks)
         ends = np.cumsum([len(ids) - used for _, ids, used in self.docs])
-        cuts = plan(*cut_points(ends, marks, self.held), self.size)
+        cuts = plan(*cut_points(ends, marks, self.held), self.size, last)
         if last:
             before = cuts[-2] if len(cuts) > 1 else 0
             cuts = cuts[:-1] + (before + np.cumsum(split_tail(self.held - before, self.size))).tolist()
