@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelframe.llm.anchors import GRAM, LENGTH, PART, SPAN, Hasher, anchors_of
+from labelframe.llm.anchors import GRAM, LENGTH, PART, Hasher, anchors_of
 from labelframe.llm.common import write_table
 from labelframe.llm.minhash import node_of
 
@@ -97,23 +97,27 @@ def _scan(rows: DataFrame, each: Callable, schema: str, names: list[str]) -> Dat
 
 
 def _anchors(raw: bytes) -> tuple:
-    """Anchors' gram hashes, places and the hashes of the windows that start at them (0 where the text ends before)."""
+    """Anchors' gram hashes, places, hashes of the windows that start at them (0 where the text ends
+    before), and the first and last start of the windows that they are the anchors of."""
     h = _hash()
-    grams, places, windows = [], [], []
+    grams, places, windows, first, last = [], [], [], [], []
     for base, part in _parts(raw):
         prefix = h.prefix(part)
         g = h.windows(prefix, slice(None), GRAM)
-        at = np.unique(anchors_of(g))
+        anchor = anchors_of(g)
+        at, begin = np.unique(anchor, return_index=True)
         full = np.zeros(len(at), np.uint64)
         whole = at + LENGTH <= len(part)
         full[whole] = h.windows(prefix, at[whole], LENGTH)
         grams.append(g[at])
         places.append(at + base)
         windows.append(full)
-    return np.concatenate(grams), np.concatenate(places), np.concatenate(windows)
+        first.append(begin + base)
+        last.append(np.append(begin[1:], len(anchor)) - 1 + base)
+    return tuple(np.concatenate(x) for x in (grams, places, windows, first, last))
 
 
-def _closed(places: np.ndarray, full: np.ndarray) -> np.ndarray:
+def _closed(places: np.ndarray, full: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Of the anchors of one text in order: all bytes of their windows are covered by repeated windows at anchors."""
     q = places[full]
     if len(q) == 0:
@@ -121,29 +125,27 @@ def _closed(places: np.ndarray, full: np.ndarray) -> np.ndarray:
     new = np.ones(len(q), bool)
     new[1:] = q[1:] - q[:-1] > LENGTH
     starts, ends = q[new], q[np.append(new[1:], True)] + LENGTH
-    run = np.searchsorted(starts, places, "right") - 1
-    low = np.maximum(places - SPAN + 1, 0)
-    return (run >= 0) & (starts[np.maximum(run, 0)] <= low) & (ends[np.maximum(run, 0)] >= places + LENGTH)
+    run = np.maximum(np.searchsorted(starts, first, "right") - 1, 0)
+    return (starts[run] <= first) & (ends[run] >= last + LENGTH)
 
 
 def _opened(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Gram hashes of the anchors that are not closed, from rows sorted by text and place."""
-    last, places, full, grams = None, [], [], []
+    owner, held = None, []
 
     def done() -> np.ndarray:
-        if not places:
+        if not held:
             return np.zeros(0, np.int64)
-        return np.array(grams, np.int64)[~_closed(np.array(places), np.array(full, bool))]
+        gram, place, full, first, last = (np.array(x) for x in zip(*held, strict=True))
+        return gram[~_closed(place, full, first, last)]
 
     for batch in batches:
         out = []
-        for node, place, f, gram in zip(*[batch.column(c).to_pylist() for c in ("node", "place", "full", "gram")], strict=True):
-            if node != last:
+        for node, *row in zip(*[batch.column(c).to_pylist() for c in ("node", "gram", "place", "full", "first", "last")], strict=True):
+            if node != owner:
                 out.append(done())
-                last, places, full, grams = node, [], [], []
-            places.append(place)
-            full.append(f)
-            grams.append(gram)
+                owner, held = node, []
+            held.append(row)
         yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64))], names=["key"])
     yield pa.RecordBatch.from_arrays([pa.array(np.unique(done()))], names=["key"])
 
@@ -175,7 +177,7 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
         return F.xxhash64(node, place)
 
     def first(raw: bytes) -> tuple:
-        grams, places, _ = _anchors(raw)
+        grams, places, *_ = _anchors(raw)
         return signed(grams), places
 
     one = _scan(rows, first, "gram long, place long", ["gram", "place"])
@@ -183,14 +185,15 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(bitmap_of(twice))
 
     def second(raw: bytes) -> tuple:
-        grams, places, windows = _anchors(raw)
-        here = _in(shared.value, grams)
-        return signed(grams[here]), places[here], signed(windows[here])
+        found = _anchors(raw)
+        grams, places, windows, first, last = (x[_in(shared.value, found[0])] for x in found)
+        return signed(grams), places, signed(windows), first, last
 
-    found = write_table(_scan(rows, second, "gram long, place long, window long", ["gram", "place", "window"]), "anchors")
+    schema = "gram long, place long, window long, first long, last long"
+    found = write_table(_scan(rows, second, schema, ["gram", "place", "window", "first", "last"]), "anchors")
     again = found.where("window <> 0").groupBy("window").agg(apart(locate("node", "place")).alias("full")).where("full")
-    marked = found.join(again, "window", "left").select("node", "place", "gram", F.coalesce("full", F.lit(False)).alias("full")).distinct()
-    marked = write_table(marked.repartition("node").sortWithinPartitions("node", "place"), "marked")
+    marked = found.join(again, "window", "left").select("node", "place", "gram", "first", "last", F.coalesce("full", F.lit(False)).alias("full"))
+    marked = write_table(marked, "marked")
     opened = marked.repartition("node").sortWithinPartitions("node", "place").mapInArrow(_opened, "key long")
     also = spark.sparkContext.broadcast(bitmap_of(opened.distinct()))
 
@@ -211,10 +214,12 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
 
     zones = _scan(rows, third, "gram long, start long, hashes array<bigint>", ["gram", "start", "hashes"])
     # Equal windows have equal anchors, so after this one shuffle by anchor all that follows is in place.
-    windows = zones.repartition("gram").select("gram", "node", "start", F.posexplode("hashes").alias("i", "window"))
-    windows = windows.select("gram", "window", "node", (F.col("start") + F.col("i")).alias("start"))
+    windows = zones.repartition("gram").select("gram", "node", F.col("start").alias("zone"), F.posexplode("hashes").alias("i", "window"))
+    windows = windows.withColumn("start", F.col("zone") + F.col("i"))
     double = windows.groupBy("gram", "window").agg(apart(locate("node", "start")).alias("double")).where("double").drop("double")
-    ends = windows.join(double, ["gram", "window"]).select("node", "start")
+    # The windows of one anchor start within fewer bytes than a window has: the first and last repeated ones cover what lies between.
+    ends = windows.join(double, ["gram", "window"]).groupBy("gram", "node", "zone").agg(F.min("start").alias("a"), F.max("start").alias("b"))
+    ends = ends.select("node", F.explode(F.array("a", "b")).alias("start"))
     full = marked.where("full").select("node", F.col("place").alias("start"))
     return full.unionByName(ends).groupBy("node").agg(F.collect_set("start").alias("starts"))
 
