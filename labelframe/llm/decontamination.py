@@ -160,7 +160,7 @@ def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text_col}`").alias("text_hash"), F.col(f"`{text_col}`").alias("text"))
 
 
-def leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", coverage: float = 0.5, consistency: float = 0.75) -> DataFrame:
+def leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", coverage: float = 0.5, consistency: float = 0.85) -> DataFrame:
     """A row for each document and item that it leaks: id, ``text_hash``, item, ``n_windows``, ``coverage``, ``consistency``, ``same_values``.
 
     A document leaks an item if at least ``coverage`` of the item's windows occur in it and at
