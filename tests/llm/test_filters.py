@@ -1,0 +1,147 @@
+"""URL filters, quality rules, toxicity and secrets."""
+
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from labelframe.llm import quality, secrets, toxicity, url_filters
+from labelframe.llm.url_filters import HOST_RULES, PATTERN_RULES, host_rule, pattern_rule
+
+URLS = [
+    None, "", "no scheme", "http://", "https://EXAMPLE.com/en/7198#top", "http://a.example.com/en/8", "https://b.net/de/8", "https://x.example.net/de/81", "https://notexample.net/de/8",
+    "http://org/es/1", "http://q.org/es", "http://m.ads-track.example.com/xx/1", "http://good.example.xyz/ads/banner?x=1", "http://good.example.xyz/ads/about", "ftp://com/en/", "http://exa\nmple.com/en/7", "http://u.com?/en/", "http://A.COM/en/://x",
+]
+
+
+def brute(url):
+    url = url or ""
+    at = url.find("://")
+    rest = url[at + 3 :] if at >= 0 else ""
+    host = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(host) :])[0]
+    host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+    best = None
+    for rule in HOST_RULES:
+        h, _, p = rule.text.partition("/")
+        if (host == h or host.endswith("." + h)) and path.startswith("/" + p) and (best is None or len(rule.text) > len(best.text)):
+            best = rule
+    if best:
+        return host, path, best.text, best.action
+    actions = {r.action for r in PATTERN_RULES if re.search(r.regex, rest.lower(), re.DOTALL)}
+    return host, path, None, "block" if actions == {"block"} else "allow"
+
+
+def test_urls_against_brute_force(spark):
+    df = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(URLS * 2)], "page_id long, url string, verdict string")
+    rows = url_filters.filter_urls(df).orderBy("page_id").collect()
+    assert [(r["host"], r["path"], r["rule"], r["verdict"]) for r in rows] == [brute(u) for u in URLS * 2]
+    assert url_filters.filter_urls(df.where("false")).count() == 0
+
+
+def test_only_candidates_run():
+    rules = tuple(host_rule(f"site{i}.com/en/", "block") for i in range(100)) + (pattern_rule("||tracker.*", "block"),)
+    index, always = url_filters.build_index(rules, {"com": 1000, "en": 500} | {f"site{i}": 1 for i in range(100)})
+    assert not always and max(map(len, index.values())) == 1
+    compiled = {i: re.compile(r.regex) for i, r in enumerate(rules)}
+    assert url_filters.judge("site7.com", "/en/x", "site7.com/en/x", rules, compiled, index, always) == ("site7.com/en/", "block", 1)
+
+
+def slow_repeats(words):
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    return len({i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(3)})
+
+
+def test_measures_against_brute_force():
+    rng = random.Random(3)
+    for _ in range(60):
+        text = "".join(rng.choice(["a", "b ", "é", "#", "\n", " ", "\x0b", " ", "x y ", "9."]) for _ in range(rng.randrange(80)))
+        m = dict(zip(quality.MEASURES, quality.measures(text), strict=True))
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        assert (m["n_words"], m["word_chars"]) == (len(words), sum(map(len, words)))
+        assert m["n_symbols"] == len(re.findall(r"[#*$%&|<>]", text))
+        assert m["n_dup_lines"] == len(lines) - len(set(lines))
+        assert m["n_repeat_words"] == slow_repeats(words)
+
+
+def test_expectation_maximisation_finds_the_accuracies():
+    rng = np.random.default_rng(1)
+    good = rng.random(20_000) < 0.85
+    accuracy = np.array([0.97, 0.9, 0.95, 0.85, 0.99])
+    right = rng.random((20_000, 5)) < np.where(good[:, None], accuracy, 0.6)
+    votes = np.where(right, good[:, None], ~good[:, None]).astype(np.int8)
+    patterns, inverse, counts = np.unique(quality.patterns_of(votes), return_inverse=True, return_counts=True)
+    posterior, theta, share = quality.fit(patterns, counts.astype(float), 5)
+    assert ((posterior[inverse] > 0.5) == good).mean() > 0.93
+    assert abs(share[1] - 0.85) < 0.08 and abs(theta[1, 0, 2] - 0.97) < 0.05
+
+
+def test_quality_of_odd_rows(spark, odd, none):
+    rows = {r["doc_id"]: r for r in quality.judge_quality(odd).collect()}
+    assert rows[3]["n_words"] == 0 and rows[3]["base_failed"] and not rows[4]["kept"]
+    assert rows[7]["base_failed"] and rows[7]["n_repeat_words"] == 5000
+    assert quality.judge_quality(odd).count() == 11 and quality.judge_quality(none).count() == 0
+
+
+def test_toxicity_learns_and_keeps_out_labels(spark, none):
+    rng = random.Random(5)
+    rows, labels = [], []
+    for i in range(600):
+        words = [f"w{rng.randrange(400)}" for _ in range(rng.randrange(5, 120))]
+        bad = i % 3 == 0
+        if bad:
+            words.insert(rng.randrange(len(words)), rng.choice(["Vile!", "rotten,", "scumbag"]))
+        rows.append((i, " ".join(words), ("en", "de")[i % 2]))
+        labels.append((i, int(bad)))
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    truth = spark.createDataFrame(labels, "doc_id long, toxic int")
+    settings = toxicity.Settings(epochs=8)
+    model = toxicity.fit(documents, truth, settings)
+    out = toxicity.score(documents, model).join(truth.withColumnRenamed("toxic", "truth"), "doc_id").where(~toxicity.eligible()).collect()
+    assert sum((r["score"] >= 0.3) == bool(r["truth"]) for r in out) / len(out) > 0.95
+    flipped = truth.withColumn("toxic", F.when(toxicity.eligible(), F.col("toxic")).otherwise(1 - F.col("toxic")))
+    again = toxicity.fit(documents, flipped, settings)
+    assert np.array_equal(model.out, again.out)
+    assert set(model.thresholds) <= {"en", "de"}
+    assert toxicity.score(none, model).count() == 0
+
+
+def test_toxicity_of_odd_rows(odd, spark, none):
+    model = toxicity.fit(none, spark.createDataFrame([], "doc_id long, toxic int"))
+    rows = toxicity.score(odd, model).collect()
+    assert len(rows) == 11 and all(0 <= r["score"] <= 1 for r in rows)
+    by_id = {r["doc_id"]: r["score"] for r in rows}
+    assert by_id[3] == by_id[4] == by_id[5]
+
+
+def slow_scan(text):
+    assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
+    spans = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 6]
+    spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
+
+
+@pytest.fixture(scope="module")
+def weights(spark, sf):
+    return secrets.train(secrets.labelled_samples(spark.read.parquet(f"{sf}/documents.parquet")))
+
+
+def test_base_spans_against_brute_force(spark, odd, weights):
+    rng = random.Random(2)
+    bits = ["token", "=", ":", " ", "API_KEY", "secret", "pasſword", "'", '"', "abc", "deadbeefdeadbeefdeadbeef", "AKIA", "ABCDEFGH12345678", "é", "😀", "0123456789abcdef", "password", ".", "\n"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(40))) for _ in range(150)] + ["secret=token:abcdef", "token=abcde"]
+    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "i int, text string, found string")
+    out = secrets.scan(df, weights).select("i", secrets.listed(F.col("base")).alias("b")).collect()
+    assert {r["i"]: r["b"] for r in out} == {i: slow_scan(t) for i, t in enumerate(texts)}
+    assert secrets.scan(odd, weights).count() == 11
+
+
+def test_models_add_random_strings_alone(spark, weights):
+    rows = [("the key Zx81kQp0aT7yLm3vR9sW2 is out",), ("see getUserAccountInformation2 or variable_name_of_a_function_2",), ("on path/to/some/page-2020-01-02/index and 4944339490429605 and theronreerrebleen",)]
+    out = secrets.scan(spark.createDataFrame(rows, "text string"), weights)
+    got = [r["r"] for r in out.select(secrets.redacted(F.col("text"), F.col("found")).alias("r")).collect()]
+    assert got == ["the key <secret> is out", rows[1][0], rows[2][0]]
