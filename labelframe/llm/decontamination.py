@@ -15,12 +15,13 @@ the benchmark.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ BITS = 1 << 24
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:%|st|nd|rd|th)?")
 _JOINED = re.compile(r"([+-]?[$€£]?\d[\d.,]*)([^\W\d]+)")
 _MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "$%+-") + "“”‘’„«»¿¡…"
+_ASCII_MARKS = "".join(c for c in _MARKS if c.isascii()).encode()
+_CLOSING = b"\"')]}>"
 #: Units after a number become a placeholder.
 UNITS = frozenset(
     "mm cm m km in inch inches ft foot feet yd yard yards mi mile miles meter meters metre metres kilometer kilometers kilometre kilometres "
@@ -48,7 +51,7 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _hash(word: str) -> int:
-    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "little")
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "replace"))
 
 
 _PLACEHOLDER = np.array([0, _hash("<number>"), _hash("<name>"), _hash("<unit>")], np.uint64)
@@ -67,49 +70,49 @@ class Canon:
         self.kind: list[int] = []
         self.ends: list[bool] = []
         self.value: list[str] = []
-        self.arrays = None
 
     def _learn(self, raw: bytes) -> int:
-        s = raw.decode("utf-8", "replace")
-        body = s.strip(_MARKS)
-        value = body.lower()
-        if _NUMBER.fullmatch(body):
-            kind = NUMBER
-        elif m := _JOINED.fullmatch(body):
-            kind, value = (NUMBER, value) if m[2].lower() in UNITS else (WORD, value)
-        elif value in UNITS:
-            kind = UNIT
+        self.ends.append(raw.rstrip(_CLOSING)[-1:] in (b".", b"!", b"?", b":"))
+        body = raw.strip(_ASCII_MARKS)
+        if body.isalpha() and body.islower() and body.decode() not in UNITS:  # ASCII letters alone
+            kind, value = WORD, body.decode()
         else:
-            kind = NAME if body[:1].isupper() and not (len(body) > 1 and body.isupper()) else WORD
+            kind, value = self._kind(raw.decode("utf-8", "replace").strip(_MARKS))
         self.hash.append(_hash(value))
         self.kind.append(kind)
-        self.ends.append(s.rstrip("\"')]}»”’")[-1:] in (".", "!", "?", ":"))
         self.value.append(value)
         return len(self.hash) - 1
 
-    def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Token hash, kind and word number of each word of the whole text."""
-        words = (text or "").encode("utf-8", "replace").split()
+    @staticmethod
+    def _kind(body: str) -> tuple[int, str]:
+        value = body.lower()
+        if _NUMBER.fullmatch(body):
+            return NUMBER, value
+        if m := _JOINED.fullmatch(body):
+            return (NUMBER if m[2].lower() in UNITS else WORD), value
+        if value in UNITS:
+            return UNIT, value
+        return (NAME if body[:1].isupper() and not (len(body) > 1 and body.isupper()) else WORD), value
+
+    def tokens(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Token hash, kind, word number and text number of each word of whole texts, one after another."""
+        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
         if len(self.hash) > self.bound:
             self.clear()
-        ids = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        if self.arrays is None or len(self.arrays[0]) < len(self.hash):
-            self.arrays = np.array(self.hash, np.uint64), np.array(self.kind, np.int8), np.array(self.ends, bool)
-        hashes, kind, ends = (a[ids] for a in self.arrays)
+        ids = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64)
+        owner = np.repeat(np.arange(len(texts)), [len(w) for w in split])
+        hashes, kind, ends = np.array(self.hash, np.uint64)[ids], np.array(self.kind, np.int8)[ids], np.array(self.ends, bool)[ids]
         begins = np.ones(len(ids), bool)
-        begins[1:] = ends[:-1]
+        begins[1:] = ends[:-1] | (owner[1:] != owner[:-1])
         kind[(kind == NAME) & begins] = WORD  # a capital that any first word has
         after = np.zeros(len(ids), bool)
-        after[1:] = kind[:-1] == NUMBER
+        after[1:] = (kind[:-1] == NUMBER) & (owner[1:] == owner[:-1])
         kind[(kind == UNIT) & ~after] = WORD
-        return np.where(kind == WORD, hashes, _PLACEHOLDER[kind]), kind, ids
+        return np.where(kind == WORD, hashes, _PLACEHOLDER[kind]), kind, ids, owner
 
 
 def windows(hashes: np.ndarray, kind: np.ndarray, n: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the token windows, and which of them have enough words."""
-    if len(hashes) == 0:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
-    n = min(n, len(hashes))
     count = len(hashes) - n + 1
     total, words = np.full(count, n, np.uint64), np.zeros(count, np.int64)
     for i in range(n):
@@ -137,25 +140,41 @@ def _found(batches: Iterable[pa.RecordBatch], lengths: list[int] | None, bitmap:
         _canons.append(Canon())
     canon = _canons[0]
     for batch in batches:
-        rows, windows_, slots, sizes = [], [], [], []
-        for row, text in enumerate(batch.column("text")):
-            hashes, kind, ids = canon.tokens(text.as_py())
-            for n in lengths or [min(WINDOW, len(hashes))]:
-                if len(hashes) < max(n, 1):
+        out: list[tuple] = []
+        for first, texts in _blocks(batch.column("text")):
+            hashes, kind, ids, owner = canon.tokens(texts)
+            count = np.bincount(owner, minlength=len(texts))
+            for n in lengths or range(1, WINDOW + 1):
+                if len(hashes) < n:
                     continue
                 found, enough = windows(hashes, kind, n)
+                mine = owner[: len(found)]
+                enough &= mine == owner[n - 1 :]
+                if lengths is None:  # of an item: windows of five, or the whole of a shorter one
+                    enough &= np.minimum(count[mine], WINDOW) == n
                 if bitmap is not None:
                     enough &= bitmap[(found & np.uint64(BITS - 1)).astype(np.int64)]
                 for at in np.flatnonzero(enough).tolist():
-                    rows.append(row)
-                    windows_.append(int(found[at].astype(np.int64)))
-                    slots.append(_slots(kind, ids, canon.value, at, n))
-                    sizes.append(n)
-        take = pa.array(rows, pa.int64())
-        arrays = [batch.column("id").take(take), batch.column("text_hash").take(take), pa.array(windows_, pa.int64()), pa.array(slots, pa.string()), pa.array(sizes, pa.int32())]
+                    out.append((first + int(mine[at]), int(found[at].astype(np.int64)), _slots(kind, ids, canon.value, at, n), n))
+        take = pa.array([r[0] for r in out], pa.int64())
+        arrays = [batch.column("id").take(take), batch.column("text_hash").take(take), *[pa.array([r[j] for r in out], t) for j, t in ((1, pa.int64()), (2, pa.string()), (3, pa.int32()))]]
         yield pa.RecordBatch.from_arrays(arrays, names=["id", "text_hash", "window", "slots", "n"])
 
 
+def _blocks(column: pa.Array, chars: int = 4_000_000) -> Iterator[tuple[int, list]]:
+    """A column's texts in groups of about ``chars`` characters, with the place of each group's first."""
+    first, held, n = 0, [], 0
+    for i, text in enumerate(column):
+        text = text.as_py()
+        held.append(text)
+        n += len(text or "")
+        if n >= chars:
+            yield first, held
+            first, held, n = i + 1, [], 0
+    if held:
+        yield first, held
+
+
 def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text_col}`").alias("text_hash"), F.col(f"`{text_col}`").alias("text"))
 

@@ -25,9 +25,9 @@ def prose(rng, n, vocabulary=4000):
 
 
 def test_re_parameterised_questions(spark):
-    item = "Maria buys 12 apples and 7 pears at the market, and later Maria gives 12 apples to her brother who lives 3 km away."
-    other = "Karim buys 45 apples and 9 pears at the market, and later Karim gives 45 apples to her brother who lives 8 km away."
-    mixed = "Karim buys 45 apples and 45 pears at the market, and later Tom gives 46 apples to her brother who lives 8 km away."
+    item = "Later Maria buys 12 apples, then Maria sells 12 pears, so Maria keeps 12 plums and Maria eats 12 figs each day on 3 km of road."
+    other = "Later Karim buys 45 apples, then Karim sells 45 pears, so Karim keeps 45 plums and Karim eats 45 figs each day on 8 km of road."
+    mixed = "Later Karim buys 45 apples, then Tom sells 46 pears, so Lena keeps 47 plums and Anna eats 48 figs each day on 8 km of road."
     unrelated = "The market was closed, and later nobody gives anything to her brother at all."
     docs = spark.createDataFrame([(1, f"Intro words here. {item} More."), (2, f"Some text. {other}"), (3, mixed), (4, unrelated), (5, None), (6, ""), (1, f"Intro words here. {item} More.")], "doc_id long, text string")
     items = spark.createDataFrame([(10, item), (11, None), (12, ""), (13, "two words")], "item_id long, text string")
