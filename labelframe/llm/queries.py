@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from labelframe.llm import decontamination, lm, minhash, packing, quality, repeats, secrets, toxicity, url_filters, warc
 from labelframe.llm.common import shared_path, table
+from labelframe.llm.oracles import ORACLE_SQL
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,4 +76,4 @@ QUERIES = {
     "op10_lm_scoring": op10_lm_scoring,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
