@@ -17,8 +17,9 @@ from labelframe.llm.common import table, write_table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches their language's threshold go."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs.withColumn("_text", F.col("text")), model, "_text")
-    return scored.where(~F.col("toxic")).select(*docs.columns)
+    # The row travels as a struct, so columns of the documents that are named like a result stay.
+    scored = toxicity.score(docs.select(F.struct("*").alias("_row"), "text", "lang"), model)
+    return scored.where(~F.col("toxic")).select("_row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,11 +34,11 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; documents without any stay as they are."""
-    found = secrets.scan(docs, secrets.train(secrets.labelled_samples(docs)))
+    found = secrets.scan(docs.select(F.struct("*").alias("_row"), "text"), secrets.train(secrets.labelled_samples(docs)))
     any_found = F.size("found") > 0
     clean = found.withColumn("_clean", secrets.redacted(F.col("text"), F.col("found")))
-    changed = {"text": F.col("_clean"), "n_chars": F.when(any_found, F.length("_clean").cast("long")).otherwise(F.col("n_chars"))}
-    return clean.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
+    changed = {"text": F.col("_clean"), "n_chars": F.when(any_found, F.length("_clean").cast("long")).otherwise(F.col("_row.n_chars"))}
+    return clean.select(*[changed[c].alias(c) if c in changed else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
