@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -18,6 +19,7 @@ def test_stages(spark, tmp_path):
     rows += [(103, text(60) + " " + item + " " + text(60), "en", "src", 0), (104, text(60) + " password=abcdef0123456789 " + text(60), "en", "src", 0)]
     d = str(tmp_path)
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit("clash") for c in ("score", "found", "class_id", "base")})
     docs.write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(i, 1, int(i % 2 == 0)) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
