@@ -76,8 +76,8 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     """Weighted Jaccard of two multisets; 0 if either is empty."""
     if len(a[0]) == 0 or len(b[0]) == 0:
         return 0.0
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    both = int(np.minimum(a[1][i], b[1][j]).sum())
+    at = np.minimum(np.searchsorted(a[0], b[0]), len(a[0]) - 1)  # both are sorted
+    both = int(np.minimum(a[1][at], b[1])[a[0][at] == b[0]].sum())
     return both / (int(a[1].sum()) + int(b[1].sum()) - both)
 
 
@@ -165,15 +165,31 @@ def _estimated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(share, pa.float64())], names=["a", "b", "similarity"])
 
 
+class _Bags(dict):
+    """Shingles of the texts met lately, by node; emptied beyond ``bound`` shingles."""
+
+    def __init__(self, bound: int = 2_000_000):
+        super().__init__()
+        self.bound, self.held = bound, 0
+
+    def of(self, node: bytes, text) -> tuple[np.ndarray, np.ndarray]:
+        bag = self.get(node)
+        if bag is None:
+            if self.held > self.bound:
+                self.clear()
+                self.held = 0
+            bag = self[node] = shingles(text.as_py())
+            self.held += len(bag[0])
+        return bag
+
+
+_bags = _Bags()
+
+
 def _verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last, bag = None, None
     for batch in batches:
-        sims = []
-        for lead, text_a, text_b in zip(batch.column("a"), batch.column("text_a"), batch.column("text_b"), strict=True):
-            lead = lead.as_py()
-            if lead != last:
-                last, bag = lead, shingles(text_a.as_py())
-            sims.append(similarity(bag, shingles(text_b.as_py())))
+        sides = [(batch.column(c).to_pylist(), batch.column(f"text_{c}")) for c in "ab"]
+        sims = [similarity(*(_bags.of(nodes[i], texts[i]) for nodes, texts in sides)) for i in range(batch.num_rows)]
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sims, pa.float64())], names=["a", "b", "similarity"])
 
 
