@@ -5,9 +5,9 @@ is asked of all texts at once, yet nothing is shuffled for each byte:
 
 1. Every 200-byte window has a content-defined anchor (``anchors``), about one for 70 bytes.
    Windows whose anchor's 64 bytes occur once occur once themselves.
-2. For repeated anchors, the windows that start at them are compared.  Where neighbouring
-   ones are repeated, all bytes in between are covered and need no further look.
-3. The windows of all other repeated anchors, at the ends of matches, are compared one by one.
+2. The windows of one anchor are a zone.  Zones of equal bytes are repeated as a whole; this
+   settles everything but the ends of matches, at the cost of a row for each zone.
+3. Of the zones of an anchor that differ, one each is taken, and their windows are compared one by one.
 
 Windows are compared by 64-bit hashes of their bytes, grouped by their anchor, with map-side
 minima and maxima, so a passage that a third of all texts share is no hot spot.  Broadcast
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from labelframe.llm.anchors import GRAM, LENGTH, PART, Hasher, anchors_of
 from labelframe.llm.common import write_table
-from labelframe.llm.minhash import node_of
+from labelframe.llm.minhash import mix, node_of
 
 #: Bits of the bitmaps (16 MB each).
 BITS = 1 << 27
@@ -96,58 +96,31 @@ def _scan(rows: DataFrame, each: Callable, schema: str, names: list[str]) -> Dat
     return rows.select("node", "text").mapInArrow(run, f"node binary, {schema}")
 
 
-def _anchors(raw: bytes) -> tuple:
-    """Anchors' gram hashes, places, hashes of the windows that start at them (0 where the text ends
-    before), and the first and last start of the windows that they are the anchors of."""
+def _zones(raw: bytes, starts_only: bool = False) -> tuple:
+    """For each anchor of a text: its gram's hash, the hash of its zone (all bytes of the windows
+    that it is the anchor of, and where it lies in them), the first and last of their starts."""
     h = _hash()
-    grams, places, windows, first, last = [], [], [], [], []
+    grams, zones, first, last = [], [], [], []
     for base, part in _parts(raw):
         prefix = h.prefix(part)
         g = h.windows(prefix, slice(None), GRAM)
         anchor = anchors_of(g)
         at, begin = np.unique(anchor, return_index=True)
-        full = np.zeros(len(at), np.uint64)
-        whole = at + LENGTH <= len(part)
-        full[whole] = h.windows(prefix, at[whole], LENGTH)
+        end = np.append(begin[1:], len(anchor)) - 1
         grams.append(g[at])
-        places.append(at + base)
-        windows.append(full)
         first.append(begin + base)
-        last.append(np.append(begin[1:], len(anchor)) - 1 + base)
-    return tuple(np.concatenate(x) for x in (grams, places, windows, first, last))
-
-
-def _closed(places: np.ndarray, full: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Of the anchors of one text in order: all bytes of their windows are covered by repeated windows at anchors."""
-    q = places[full]
-    if len(q) == 0:
-        return np.zeros(len(places), bool)
-    new = np.ones(len(q), bool)
-    new[1:] = q[1:] - q[:-1] > LENGTH
-    starts, ends = q[new], q[np.append(new[1:], True)] + LENGTH
-    run = np.maximum(np.searchsorted(starts, first, "right") - 1, 0)
-    return (starts[run] <= first) & (ends[run] >= last + LENGTH)
-
-
-def _opened(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Gram hashes of the anchors that are not closed, from rows sorted by text and place."""
-    owner, held = None, []
-
-    def done() -> np.ndarray:
-        if not held:
-            return np.zeros(0, np.int64)
-        gram, place, full, first, last = (np.array(x) for x in zip(*held, strict=True))
-        return gram[~_closed(place, full, first, last)]
-
-    for batch in batches:
-        out = []
-        for node, *row in zip(*[batch.column(c).to_pylist() for c in ("node", "gram", "place", "full", "first", "last")], strict=True):
-            if node != owner:
-                out.append(done())
-                owner, held = node, []
-            held.append(row)
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64))], names=["key"])
-    yield pa.RecordBatch.from_arrays([pa.array(np.unique(done()))], names=["key"])
+        last.append(end + base)
+        if not starts_only:
+            size = (end + LENGTH - begin).astype(np.uint64)
+            body = (prefix[end + LENGTH] - prefix[begin]) * h.down[begin]
+            zones.append(mix(body + mix(size * np.uint64(1009) + (at - begin).astype(np.uint64))))
+    return tuple(np.concatenate(x) for x in (grams, zones, first, last) if x)
+
+
+def _place_keys(raw: bytes, first: np.ndarray) -> np.ndarray:
+    """A hash of the text and a place in it."""
+    name = int.from_bytes(hashlib.md5(raw).digest()[:8], "little")
+    return mix(np.uint64(name) + first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def _removed(raw: bytes, starts: list[int]) -> tuple[int, int, str]:
@@ -173,55 +146,51 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
     apart = lambda c: F.min(c) != F.max(c)  # noqa: E731  two places at least
     signed = lambda a: a.view(np.int64)
 
-    def locate(node: str, place: str):
-        return F.xxhash64(node, place)
-
-    def first(raw: bytes) -> tuple:
-        grams, places, *_ = _anchors(raw)
-        return signed(grams), places
+    def grams_of(raw: bytes) -> tuple:
+        grams, first, _ = _zones(raw, starts_only=True)
+        return signed(grams), signed(_place_keys(raw, first))
 
-    one = _scan(rows, first, "gram long, place long", ["gram", "place"])
-    twice = one.groupBy("gram").agg(apart(locate("node", "place")).alias("twice")).where("twice").select(F.col("gram").alias("key"))
+    one = _scan(rows, grams_of, "gram long, place long", ["gram", "place"])
+    twice = one.groupBy("gram").agg(apart("place").alias("twice")).where("twice").select(F.col("gram").alias("key"))
     shared = spark.sparkContext.broadcast(bitmap_of(twice))
 
-    def second(raw: bytes) -> tuple:
-        found = _anchors(raw)
-        grams, places, windows, first, last = (x[_in(shared.value, found[0])] for x in found)
-        return signed(grams), places, signed(windows), first, last
-
-    schema = "gram long, place long, window long, first long, last long"
-    found = write_table(_scan(rows, second, schema, ["gram", "place", "window", "first", "last"]), "anchors")
-    again = found.where("window <> 0").groupBy("window").agg(apart(locate("node", "place")).alias("full")).where("full")
-    marked = found.join(again, "window", "left").select("node", "place", "gram", "first", "last", F.coalesce("full", F.lit(False)).alias("full"))
-    marked = write_table(marked, "marked")
-    opened = marked.repartition("node").sortWithinPartitions("node", "place").mapInArrow(_opened, "key long")
-    also = spark.sparkContext.broadcast(bitmap_of(opened.distinct()))
-
-    def third(raw: bytes) -> tuple:
+    def zones_of(raw: bytes) -> tuple:
+        found = _zones(raw)
+        here = _in(shared.value, found[0])
+        grams, zones, first, last = (x[here] for x in found)
+        return signed(grams), signed(zones), first, last, signed(_place_keys(raw, first))
+
+    schema = "gram long, zone long, first long, last long, place long"
+    found = write_table(_scan(rows, zones_of, schema, schema.replace(" long", "").split(", ")), "zones")
+    kinds = found.groupBy("gram", "zone").agg(apart("place").alias("whole"), F.min("place").alias("place"))
+    kinds = write_table(kinds, "kinds")
+    whole = found.join(kinds.where("whole").select("gram", "zone"), ["gram", "zone"])
+    # An anchor whose zones are all repeated as a whole needs no look at windows; a zone of its own may repeat itself.
+    open_ = kinds.where("not whole").select("gram").distinct()
+    chosen = kinds.join(open_, "gram", "left_semi").select(F.col("place").alias("key"))
+    taken = spark.sparkContext.broadcast(bitmap_of(chosen))
+
+    def windows_of(raw: bytes) -> tuple:
         h = _hash()
-        keys, starts, hashes = [], [], []
-        for base, part in _parts(raw):
-            prefix = h.prefix(part)
-            g = h.windows(prefix, slice(None), GRAM)
-            anchor = anchors_of(g)
-            at, begin = np.unique(anchor, return_index=True)
-            end = np.append(begin[1:], len(anchor))
-            for k in np.flatnonzero(_in(also.value, g[at]) & _in(shared.value, g[at])).tolist():
-                keys.append(int(g[at[k]].astype(np.int64)))
-                starts.append(int(begin[k]) + base)
-                hashes.append(signed(h.windows(prefix, np.arange(begin[k], end[k]), LENGTH)).tolist())
-        return np.array(keys, np.int64), np.array(starts, np.int64), hashes
-
-    zones = _scan(rows, third, "gram long, start long, hashes array<bigint>", ["gram", "start", "hashes"])
+        grams, first, last = _zones(raw, starts_only=True)
+        here = _in(shared.value, grams)
+        here[here] = _in(taken.value, _place_keys(raw, first[here]))
+        data = np.frombuffer(raw, np.uint8)
+        hashes = []
+        for a, b in zip(first[here].tolist(), last[here].tolist(), strict=True):
+            part = data[a : b + LENGTH]
+            hashes.append(signed(h.windows(h.prefix(part), slice(None), LENGTH)).tolist())
+        return signed(grams[here]), first[here], hashes
+
+    zones = _scan(rows, windows_of, "gram long, start long, hashes array<bigint>", ["gram", "start", "hashes"])
     # Equal windows have equal anchors, so after this one shuffle by anchor all that follows is in place.
     windows = zones.repartition("gram").select("gram", "node", F.col("start").alias("zone"), F.posexplode("hashes").alias("i", "window"))
     windows = windows.withColumn("start", F.col("zone") + F.col("i"))
-    double = windows.groupBy("gram", "window").agg(apart(locate("node", "start")).alias("double")).where("double").drop("double")
+    double = windows.groupBy("gram", "window").agg(apart(F.xxhash64("node", "start")).alias("double")).where("double").drop("double")
     # The windows of one anchor start within fewer bytes than a window has: the first and last repeated ones cover what lies between.
     ends = windows.join(double, ["gram", "window"]).groupBy("gram", "node", "zone").agg(F.min("start").alias("a"), F.max("start").alias("b"))
-    ends = ends.select("node", F.explode(F.array("a", "b")).alias("start"))
-    full = marked.where("full").select("node", F.col("place").alias("start"))
-    return full.unionByName(ends).groupBy("node").agg(F.collect_set("start").alias("starts"))
+    both = whole.select("node", F.col("first").alias("a"), F.col("last").alias("b")).unionByName(ends.select("node", "a", "b"))
+    return both.select("node", F.explode(F.array("a", "b")).alias("start")).groupBy("node").agg(F.collect_set("start").alias("starts"))
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
