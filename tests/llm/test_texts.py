@@ -286,7 +286,7 @@ def test_probabilities_of_a_byte_sum_to_one():
     keys = lm.segments("the cat sat on the mat and the cat ran")
     lm.add_counts(counts, keys, np.ones(len(keys)))
     model = lm.fit(counts, [keys])
-    bits = lm.bits_of(model, [b"\0\0\0" + bytes([c]) for c in range(256)])
+    bits = lm.bits_of(model, [b"\0" * lm.LEFT + bytes([c]) for c in range(256)])
     assert (0.5**bits).sum() == pytest.approx(1, abs=1e-4)
     assert lm.bits_of(model, lm.segments("the cat"))[:1].sum() < lm.bits_of(model, lm.segments("xqz jkw"))[:1].sum()
     whole = lm.Scorer(model).log10(["the cat", None, "the cat"])
