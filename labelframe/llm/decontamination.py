@@ -6,7 +6,9 @@ tokens is a template; equal templates, found by a hash join, point from a docume
 benchmark item even if the question's numbers, names or units were exchanged.  A
 re-parameterised question exchanges each value for one other value throughout, so the
 matched slots of a document and an item must agree with one another; unrelated texts that
-share templates rarely do.
+share templates rarely do.  A document may hold an item several times, with other values each
+time, so slots are compared in the whole document and, where that fails, in each stretch of
+about the item's length.
 
 The documents' windows first pass a bitmap of fixed size over the benchmark's windows, so
 only those that (nearly all) have a partner are shuffled; the bitmap does not grow with
@@ -16,6 +18,7 @@ the benchmark.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -131,7 +134,7 @@ _canons: list[Canon] = []
 
 
 def _found(batches: Iterable[pa.RecordBatch], lengths: list[int] | None, bitmap: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """A row per window: id, text's hash, window, slot values and window's length.
+    """A row per window: id, text's hash, window, slot values, window's length and its place in the text.
 
     With a bitmap, windows of each of ``lengths`` that it holds; without, the windows of an
     item, which for a short one are the item itself.
@@ -144,6 +147,7 @@ def _found(batches: Iterable[pa.RecordBatch], lengths: list[int] | None, bitmap:
         for first, texts in _blocks(batch.column("text")):
             hashes, kind, ids, owner = canon.tokens(texts)
             count = np.bincount(owner, minlength=len(texts))
+            begin = np.cumsum(count) - count
             for n in lengths or range(1, WINDOW + 1):
                 if len(hashes) < n:
                     continue
@@ -155,10 +159,10 @@ def _found(batches: Iterable[pa.RecordBatch], lengths: list[int] | None, bitmap:
                 if bitmap is not None:
                     enough &= bitmap[(found & np.uint64(BITS - 1)).astype(np.int64)]
                 for at in np.flatnonzero(enough).tolist():
-                    out.append((first + int(mine[at]), int(found[at].astype(np.int64)), _slots(kind, ids, canon.value, at, n), n))
+                    out.append((first + int(mine[at]), int(found[at].astype(np.int64)), _slots(kind, ids, canon.value, at, n), n, at - int(begin[mine[at]])))
         take = pa.array([r[0] for r in out], pa.int64())
-        arrays = [batch.column("id").take(take), batch.column("text_hash").take(take), *[pa.array([r[j] for r in out], t) for j, t in ((1, pa.int64()), (2, pa.string()), (3, pa.int32()))]]
-        yield pa.RecordBatch.from_arrays(arrays, names=["id", "text_hash", "window", "slots", "n"])
+        arrays = [batch.column("id").take(take), batch.column("text_hash").take(take), *[pa.array([r[j] for r in out], t) for j, t in ((1, pa.int64()), (2, pa.string()), (3, pa.int32()), (4, pa.int64()))]]
+        yield pa.RecordBatch.from_arrays(arrays, names=["id", "text_hash", "window", "slots", "n", "place"])
 
 
 def _blocks(column: pa.Array, chars: int = 4_000_000) -> Iterator[tuple[int, list]]:
@@ -175,6 +179,57 @@ def _blocks(column: pa.Array, chars: int = 4_000_000) -> Iterator[tuple[int, lis
         yield first, held
 
 
+#: Lengths of the stretches that are looked at, as shares of the item's.
+STRETCHES = (1.0, 1.25, 1.5, 0.75, 0.5)
+
+
+def _agreement(some: list[tuple], total: int, coverage: float, consistency: float) -> tuple | None:
+    """(n_windows, coverage, consistency, same_values) of matches (place, window, item's slots, slots) that tell of a leak."""
+    found = {x[1] for x in some}
+    if len(found) / total < coverage:
+        return None
+    stands: dict[str, Counter] = {}
+    for _, _, own, other in some:
+        if own:
+            for a, b in zip(own.split("\x1f"), other.split("\x1f"), strict=True):
+                stands.setdefault(a, Counter())[b] += 1
+    every = sum(c.total() for c in stands.values())
+    top, same = (sum(f(a, c) for a, c in stands.items()) / every if every else 1.0 for f in (lambda a, c: max(c.values()), lambda a, c: c[a]))
+    verbatim = found == {x[1] for x in some if x[2] == x[3]}
+    return (len(found), len(found) / total, top, same) if verbatim or top >= consistency else None
+
+
+def leaked(matches: Iterable[tuple], total: int, length: int, coverage: float, consistency: float) -> tuple | None:
+    """What ``_agreement`` says of the whole document, or else of its best stretch of about the item's ``length``."""
+    rows = sorted(matches)
+    if whole := _agreement(rows, total, coverage, consistency):
+        return whole
+    for share in STRETCHES:
+        best, inside, end = None, Counter(), 0
+        size = max(1, round(length * share))
+        for first, row in enumerate(rows):
+            while end < len(rows) and rows[end][0] < row[0] + size:
+                inside[rows[end][1]] += 1
+                end += 1
+            if len(inside) / total >= coverage and (one := _agreement(rows[first:end], total, coverage, consistency)):
+                best = max(best or one, one)
+            inside[row[1]] -= 1
+            if not inside[row[1]]:
+                del inside[row[1]]
+        if best:
+            return best
+    return None
+
+
+def _judged(batches: Iterable[pa.RecordBatch], coverage: float, consistency: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = zip(batch.column("matches"), batch.column("total").to_pylist(), batch.column("length").to_pylist(), strict=True)
+        found = [leaked([tuple(x.values()) for x in m.as_py()], total, length, coverage, consistency) for m, total, length in rows]
+        take = pa.array([i for i, x in enumerate(found) if x], pa.int64())
+        values = [pa.array([x[j] for x in found if x], t) for j, t in enumerate((pa.int64(), pa.float64(), pa.float64(), pa.float64()))]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c).take(take) for c in ("id", "text_hash", "item")], *values], names=["id", "text_hash", "item", "n_windows", "coverage", "consistency", "same_values"])
+
+
 def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text_col}`").alias("text_hash"), F.col(f"`{text_col}`").alias("text"))
 
@@ -184,15 +239,19 @@ def leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     A document leaks an item if at least ``coverage`` of the item's windows occur in it and at
     least ``consistency`` of the item's slot values stand for one value there (both 1 where an
-    item has no slots).  ``same_values``: the share of slots that kept their value.  Items of
+    item has no slots), or both hold in a stretch of about the item's length, or that is so
+    covered by windows of the item's very values.  Figures are those of the document or else
+    of its best stretch.  ``same_values``: the share of slots that kept their value.  Items of
     fewer than five words are one window; items without a usable window, null and empty texts
     leak nothing.  Repeated rows (same id and text) count once; equal ids with other texts are
     told apart by ``text_hash``.  Other columns, however named, are left out.
     """
     spark = documents.sparkSession
-    schema = "id {}, text_hash long, window long, slots string, n int"
+    schema = "id {}, text_hash long, window long, slots string, n int, place long"
     items = _rows(benchmark, item_col, item_text_col).mapInArrow(lambda b: _found(b, None, None), schema.format(dict(benchmark.dtypes)[item_col]))
-    items = items.select(F.col("id").alias("item"), F.col("text_hash").alias("item_hash"), "window", F.col("slots").alias("item_slots"), "n").distinct()
+    items = items.select(F.col("id").alias("item"), F.col("text_hash").alias("item_hash"), "window", F.col("slots").alias("item_slots"), "n", "place")
+    total = items.groupBy("item", "item_hash").agg(F.count_distinct("window").alias("total"), (F.max("place") - F.min("place") + 1).alias("length"))
+    items = items.drop("place").distinct()
     # At most BITS rows of two small numbers, whatever the benchmark's size.
     marked = items.select(F.col("window").bitwiseAND(BITS - 1).cast("int").alias("bit"), "n").distinct().toPandas()
     bitmap = np.zeros(BITS, bool)
@@ -206,19 +265,13 @@ def leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     hits = _rows(documents, id_col, text_col).mapInArrow(of_documents, schema.format(dict(documents.dtypes)[id_col])).drop("n")
     matched = hits.join(items.drop("n"), "window")
     key = ["id", "text_hash", "item", "item_hash"]
-    total = items.groupBy("item", "item_hash").agg(F.count_distinct("window").alias("total"))
-    found = matched.groupBy(*key).agg(F.count_distinct("window").alias("n_windows"))
-    # What stands for each slot value of the item, counted over the matched windows.
-    slots = matched.where("item_slots <> ''").select(*key, F.explode(F.arrays_zip(F.split("item_slots", "\x1f").alias("a"), F.split("slots", "\x1f").alias("b"))).alias("pair"))
-    slots = slots.groupBy(*key, F.col("pair.a").alias("a"), F.col("pair.b").alias("b")).count()
-    slots = slots.groupBy(*key, "a").agg(F.max("count").alias("top"), F.sum("count").alias("all"), F.sum(F.when(F.col("a") == F.col("b"), F.col("count")).otherwise(0)).alias("same"))
-    slots = slots.groupBy(*key).agg((F.sum("top") / F.sum("all")).alias("consistency"), (F.sum("same") / F.sum("all")).alias("same_values"))
-    # Ids may be null, so keys are compared null-safely.
-    out = found.alias("f").join(slots.alias("s"), [F.col(f"f.{k}").eqNullSafe(F.col(f"s.{k}")) for k in key], "left")
-    out = out.select(*[f"f.{k}" for k in key], "n_windows", *[F.coalesce(c, F.lit(1.0)).alias(c) for c in ("consistency", "same_values")])
-    out = out.alias("f").join(total.alias("t"), [F.col(f"f.{k}").eqNullSafe(F.col(f"t.{k}")) for k in ("item", "item_hash")])
-    out = out.withColumn("coverage", F.col("n_windows") / F.col("total")).where((F.col("coverage") >= coverage) & (F.col("consistency") >= consistency))
-    return out.select(F.col("id").alias(id_col), "text_hash", F.col("f.item").alias(item_col), "n_windows", "coverage", "consistency", "same_values")
+    found = matched.groupBy(*key).agg(F.collect_set(F.struct("place", "window", "item_slots", "slots")).alias("matches"))
+    # Ids may be null, so keys are compared null-safely.  No stretch covers more than its document.
+    found = found.alias("f").join(total.alias("t"), [F.col(f"f.{k}").eqNullSafe(F.col(f"t.{k}")) for k in ("item", "item_hash")])
+    found = found.where(F.size(F.array_distinct("matches.window")) / F.col("total") >= coverage).select("id", "text_hash", F.col("f.item").alias("item"), "matches", "total", "length")
+    kinds = dict(found.dtypes)
+    out = found.mapInArrow(lambda b: _judged(b, coverage, consistency), f"id {kinds['id']}, text_hash long, item {kinds['item']}, n_windows long, coverage double, consistency double, same_values double")
+    return out.select(F.col("id").alias(id_col), "text_hash", F.col("item").alias(item_col), "n_windows", "coverage", "consistency", "same_values")
 
 
 def remove_leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
