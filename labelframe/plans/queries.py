@@ -541,7 +541,7 @@ def q_adapt_keep_additional(spark, d):
 @query("SELECT * FROM (VALUES ('p_retailprice', 'TYPE_MISMATCH'), ('p_brand', 'NOT_SUB_DICTIONARY'), ('p_size', 'WRONG_COLUMN_PRESENT'), ('p_gone', 'MISSING_COLUMN')) v(label, problem)")
 def q_incompatible_report(spark, d):
     own = parts(spark, d).columns(["p_retailprice", "p_brand", "p_size"])
-    df = read(spark, d, "part").select(F.col("p_name").alias("p_retailprice"), F.lit("Brand#none").alias("p_brand"), F.lit(1.0).alias("p_gone")).limit(10)
+    df = read(spark, d, "part").select(F.col("p_name").alias("p_retailprice"), F.lit("Brand#none").alias("p_brand"), F.lit(1.0).alias("p_gone"))
     found = adapting.find_incompatible(own, Table.from_df(df, {"p_brand": N}), adapting.ColumnSetRequirement.EQUAL, adapting.TypeRequirement.REQUIRE_MATCHING_TYPES, adapting.TypeRequirement.REQUIRE_SUB_DICTIONARIES)
     return spark.createDataFrame([(k, v.value) for k, v in found.items()], "label string, problem string")
 
