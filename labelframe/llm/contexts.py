@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from labelframe.llm.common import write_table
 
 #: Entries or questions of a shard, about, and entries that a task counts before it passes them on.
-SHARD, HELD = 1 << 20, 1 << 21
+SHARD, HELD = 1 << 20, 1 << 19
 
 
 @dataclass
