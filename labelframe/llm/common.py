@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = f"file://{tempfile.mkdtemp(prefix='labelframe-')}"
         spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext.getCheckpointDir()
@@ -58,14 +62,36 @@ def remove(spark: SparkSession, path: str) -> None:
     _written.pop(path, None)
 
 
+#: With it, Spark removes a query's shuffle files when it has ended: a written table needs them no more.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def freeing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries that end meanwhile are removed at once, not when the driver collects its garbage."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder once and read it from there."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    with freeing_shuffles(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Remove a table that ``write_table`` has written and nothing reads any more."""
+    for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
+        remove(df.sparkSession, path)
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """``df`` without the columns that an operator is about to add (a clashing input column gives way)."""
     taken = {n.lower() for n in names}
@@ -89,6 +115,22 @@ def sample_texts(texts: DataFrame, n: int, max_chars: int) -> DataFrame:
     return hashed.join(F.broadcast(chosen), "_h").groupBy("_h").agg(F.min("text").alias("text")).select("text")
 
 
+_kept: dict[str, object] = {}
+
+
+def kept(owner: str, make, key: object = None):
+    """What ``make`` gives, kept in this Python process for ``owner``.
+
+    Workers outlive an operator and serve the next one, so only one owner's memory is held at a
+    time: that of another owner, or of another ``key``, is let go first.
+    """
+    if _kept.get("owner") != (owner, key):
+        _kept.clear()
+        _kept["value"] = make()
+        _kept["owner"] = (owner, key)
+    return _kept["value"]
+
+
 class Memo(dict):
     """A dict that computes what it lacks.  ``trim`` empties it beyond ``bound`` entries, so memory is bounded."""
 

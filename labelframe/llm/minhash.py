@@ -14,10 +14,12 @@ soon as it passes the largest component: about ``n + m ln m`` points for ``n`` s
 and ``m`` components, however large the counts are.
 
 Search.  Signatures are cut into bands; texts that share a band's bucket are candidates.
-Within a bucket, members are compared with leaders, not with one another: those too
-far from the leaders choose leaders of their own, again compared with the whole bucket, until
-none is left, so the pairs grow with the bucket and not with its square.  Candidates are
-verified on the texts themselves, and verified links are joined to components.
+Only connections matter, so a bucket's candidates are compared in two steps.  First the
+tree of the likeliest links, a link less than members, is verified on the texts and joined to
+components.  Then the members outside a bucket's largest component, which are few in a group of
+copies, are compared with all members of other components, in blocks: by sketches, and on
+the texts where these leave a doubt.  No pair of texts that might connect two components goes
+unseen, whatever a bucket's size, and a pair is looked at in the first bucket it shares.
 
 Exact copies are collapsed first and never compared.
 """
@@ -32,14 +34,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelframe.llm.common import Memo, shared_path, write_table
+from labelframe.llm.common import Memo, drop_table, kept, write_table
 from labelframe.llm.graphs import components
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 6  # at 0.8, a pair shares no band in 6 of 100,000 cases
 SIZE = BANDS * ROWS
-MARGIN = 0.15
+#: A pair at the threshold looks less similar than ``SIMILARITY - MARGIN`` in its sketches in 2 of 100,000 cases.
+MARGIN = 0.12
+#: Members of a bucket that one task compares: texts outside the largest component, and texts.
+FEW, MANY = 256, 1024
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -51,7 +56,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_memo = Memo(xxhash.xxh64_intdigest)
+class _Memory:
+    """What a worker keeps: hashes of words, and the shingles of the texts met lately."""
+
+    def __init__(self, bound: int = 1_500_000):
+        self.word = Memo(xxhash.xxh64_intdigest, 500_000)
+        self.bags: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+        self.held, self.bound = 0, bound
+
+    def bag(self, node: bytes, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Shingles of the text named ``node``; all are let go beyond ``bound`` shingles."""
+        bag = self.bags.get(node)
+        if bag is None:
+            if self.held > self.bound:
+                self.bags, self.held = {}, 0
+            bag = self.bags[node] = shingles(text)
+            self.held += len(bag[0])
+        return bag
+
+
+def _memory() -> _Memory:
+    return kept("minhash", _Memory)
 
 
 def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -63,8 +88,9 @@ def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     n = min(WORDS, len(words))
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    _memo.trim()
-    h = np.fromiter(map(_memo.__getitem__, words), np.uint64, len(words))
+    memo = _memory().word
+    memo.trim()
+    h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
     count = len(h) - n + 1
     total = np.full(count, n, np.uint64)
     for i in range(n):
@@ -158,152 +184,175 @@ def _signed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, names=["id", "node", "bands", "sketch"])
 
 
-def _estimated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SIZE) for c in ("sketch_a", "sketch_b"))
-        share = ((a == b).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(share, pa.float64())], names=["a", "b", "similarity"])
+def _members(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.StructArray]]:
+    """The row numbers of a batch and their lists of members."""
+    lists = batch.column("members")
+    flat, cuts = lists.flatten(), lists.offsets.to_numpy()
+    for i in range(batch.num_rows):
+        yield i, flat.slice(cuts[i] - cuts[0], cuts[i + 1] - cuts[i])
 
 
-class _Bags(dict):
-    """Shingles of the texts met lately, by node; emptied beyond ``bound`` shingles."""
+def _fixed(column: pa.Array, kind: type, width: int) -> np.ndarray:
+    """A column of byte strings of one length as a matrix."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), width)
 
-    def __init__(self, bound: int = 2_000_000):
-        super().__init__()
-        self.bound, self.held = bound, 0
 
-    def of(self, node: bytes, text) -> tuple[np.ndarray, np.ndarray]:
-        bag = self.get(node)
-        if bag is None:
-            if self.held > self.bound:
-                self.clear()
-                self.held = 0
-            bag = self[node] = shingles(text.as_py())
-            self.held += len(bag[0])
-        return bag
+def estimated(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Similarities as sketches show them, of a row with rows or of rows with rows."""
+    return ((a == b).mean(axis=-1) - 1 / 256) / (1 - 1 / 256)
 
 
-_bags = _Bags()
+def tree(sketch: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """The links of at least ``least`` in the tree of largest estimated similarities that spans all rows (Prim's)."""
+    out = []
+    near = estimated(sketch, sketch[0])
+    source = np.zeros(len(sketch), np.int64)
+    near[0] = -2.0
+    for _ in range(len(sketch) - 1):
+        i = int(near.argmax())
+        if near[i] >= least:
+            out.append((int(source[i]), i))
+        now = estimated(sketch, sketch[i])
+        closer = (now > near) & (near > -2.0)
+        source[closer] = i
+        near[closer] = now[closer]
+        near[i] = -2.0
+    return out
 
 
-def _verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sides = [(batch.column(c).to_pylist(), batch.column(f"text_{c}")) for c in "ab"]
-        sims = [similarity(*(_bags.of(nodes[i], texts[i]) for nodes, texts in sides)) for i in range(batch.num_rows)]
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sims, pa.float64())], names=["a", "b", "similarity"])
+_PAIRS = "place long, a binary, b binary"
 
 
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, similarity) of the pairs of nodes, by their texts."""
-    own = texts.select(F.col("node").alias("n"), "text")
-    rows = pairs.join(own, F.col("b") == F.col("n")).select("a", "b", F.col("text").alias("text_b"))
-    rows = rows.join(own, F.col("a") == F.col("n")).select("a", "b", F.col("text").alias("text_a"), "text_b")
-    return rows.mapInArrow(_verified, "a binary, b binary, similarity double")
+def _trees(batches: Iterable[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Pairs (a < b) of the trees of the batches' (place, members: node, sketch)."""
+    for batch in batches:
+        out: tuple[list, list, list] = ([], [], [])
+        place = batch.column("place").to_pylist()
+        for i, members in _members(batch):
+            nodes = members.field("node").to_pylist()
+            for x, y in tree(_fixed(members.field("sketch"), np.uint8, SIZE), least):
+                for column, value in zip(out, (place[i], min(nodes[x], nodes[y]), max(nodes[x], nodes[y])), strict=True):
+                    column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["place", "a", "b"])
 
 
-class _Verified:
-    """The compared pairs (a < b), a written table that each round appends to, so that plans stay short.
+def _crossing(batches: Iterable[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """(place, nodes, pairs): the pairs of a row's few members with all its others, of other components, that this bucket is the first to hold.
 
-    Sketches come first: a pair at the threshold looks less similar than ``threshold - MARGIN``,
-    over five standard deviations, in one of ten million cases.  All others are verified on the texts.
+    Rows: (place, key, members: node, component, few, asks, sketch, bands).  ``pairs``: the names of
+    both texts of each pair in a row; ``nodes``: the texts that are needed for them, each once.
     """
-
-    def __init__(self, texts: DataFrame, marks: DataFrame, threshold: float):
-        self.texts, self.marks, self.threshold, self.spark = texts, marks, threshold, texts.sparkSession
-        self.path = shared_path(self.spark, "verified")
-        self.schema = "a binary, b binary, similarity double"
-        self.spark.createDataFrame([], self.schema).write.parquet(self.path)
-
-    def read(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self.path)
-
-    def near(self) -> DataFrame:
-        return self.read().where(F.col("similarity") >= self.threshold)
-
-    def compare(self, pairs: DataFrame) -> None:
-        """Verify the pairs (lead, node) that are new."""
-        new = pairs.where("lead <> node").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
-        new = new.join(self.read().drop("similarity"), ["a", "b"], "left_anti").select("a", "b")
-        own = self.marks.select(F.col("node").alias("n"), "sketch")
-        rows = new.join(own, F.col("b") == F.col("n")).select("a", "b", F.col("sketch").alias("sketch_b"))
-        rows = rows.join(own, F.col("a") == F.col("n")).select("a", "b", F.col("sketch").alias("sketch_a"), "sketch_b")
-        guessed = write_table(rows.mapInArrow(_estimated, self.schema), "guessed")
-        least = self.threshold - MARGIN
-        fresh = verify(guessed.where(F.col("similarity") >= least).select("a", "b"), self.texts)
-        fresh.unionByName(guessed.where(F.col("similarity") < least)).write.mode("append").parquet(self.path)
-
-
-def _rounds(members: DataFrame, unresolved: DataFrame, found: _Verified, leaders: int = 8) -> None:
-    """Compare members (key, node, sim) of each bucket with leaders until every unresolved one is a leader or near one.
-
-    ``sim``: similarity to a text that all members of the bucket were compared with.  One minus the
-    similarity is a metric, so two members whose ``sim`` differ by more than the allowed distance
-    can't be similar and are not compared.  Leaders double in number with each round.
+    for batch in batches:
+        place, key = batch.column("place").to_pylist(), batch.column("key").to_pylist()
+        for i, members in _members(batch):
+            nodes = members.field("node").to_pylist()
+            sketch = _fixed(members.field("sketch"), np.uint8, SIZE)
+            bands = members.field("bands").flatten().to_numpy(zero_copy_only=False).reshape(len(nodes), BANDS)
+            component = np.unique(np.array(members.field("component").to_pylist(), object), return_inverse=True)[1]
+            name = np.unique(np.array(nodes, object), return_inverse=True)[1]
+            few = np.flatnonzero(members.field("asks").to_numpy(zero_copy_only=False))
+            others = np.flatnonzero(~members.field("asks").to_numpy(zero_copy_only=False))
+            among = members.field("few").to_numpy(zero_copy_only=False)[others]
+            pairs = []
+            for x in few:
+                # Two of the few meet twice; the lower one asks.
+                open_ = others[(component[others] != component[x]) & (~among | (name[others] > name[x]))]
+                hit = open_[estimated(sketch[open_], sketch[x]) >= least]
+                same = bands[hit] == bands[x]
+                first = same.argmax(axis=1)
+                hit = hit[bands[x][first] == key[i]]
+                pairs += [(nodes[x], nodes[y]) for y in hit.tolist()]
+            if pairs:
+                needed = sorted({x for pair in pairs for x in pair})
+                arrays = [pa.array([place[i]], pa.int64()), pa.array([needed], pa.list_(pa.binary())), pa.array([b"".join(a + b for a, b in pairs)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["place", "nodes", "pairs"])
+
+
+def _compared(batches: Iterable[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """The links among each place's pairs.  Rows come by place, its texts before its pairs."""
+    memory = _memory()
+    now, bags = None, {}
+    for batch in batches:
+        node, text, pairs = (batch.column(c) for c in ("node", "text", "pairs"))
+        out: tuple[list, list, list] = ([], [], [])
+        for i, place in enumerate(batch.column("place").to_pylist()):
+            if place != now:
+                now, bags = place, {}
+            named = pairs[i].as_py()
+            if named is None:
+                name = node[i].as_py()
+                bags[name] = memory.bag(name, text[i].as_py())
+                continue
+            for at in range(0, len(named), 32):
+                a, b = named[at : at + 16], named[at + 16 : at + 32]
+                if (found := similarity(bags[a], bags[b])) >= threshold:
+                    for column, value in zip(out, (min(a, b), max(a, b), found), strict=True):
+                        column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.float64())], names=["a", "b", "similarity"])
+
+
+def verify(needed: DataFrame, pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity) of those of the pairs that are similar by their texts.
+
+    ``needed``: (place, node); ``pairs``: (place, pairs), the names of each pair in a row.  A text is
+    sent once to each place that has a pair of it, not once for each pair.
     """
-    apart = 1 - found.threshold + 1e-9
-    while True:
-        part = F.pmod(F.xxhash64("node", "key"), F.lit(leaders))
-        leads = unresolved.groupBy("key", part.alias("part")).agg(F.min(F.struct("node", "sim")).alias("x"))
-        leads = write_table(leads.select("key", F.col("x.node").alias("lead"), F.col("x.sim").alias("lead_sim")), "leads")
-        close = F.abs(F.col("sim") - F.col("lead_sim")) <= apart
-        found.compare(members.join(leads, "key").where(close).select("lead", "node"))
-        pair = unresolved.join(leads, "key").where(close).select("key", "node", "lead", F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b"))
-        own = pair.where("lead = node").select("key", "node")
-        near = pair.join(found.near().drop("similarity"), ["a", "b"], "left_semi").select("key", "node")
-        unresolved = write_table(unresolved.join(own.unionByName(near).distinct(), ["key", "node"], "left_anti").select("key", "node", "sim"), "unresolved")
-        if unresolved.isEmpty():
-            return
-        leaders *= 2
-
-
-def links(signed: DataFrame, rows: DataFrame, threshold: float = SIMILARITY, small: int = 16) -> DataFrame:
-    """Verified links (a, b, similarity) between different texts that connect the similar texts of each bucket.
-
-    ``signed``: (id, node, bands, sketch); ``rows``: (id, node, text).  A bucket's first leader is
-    the member that shares most buckets with others, in a group of copies its original.  Members
-    that are not near it go on: in buckets of at most ``small`` members among themselves, in
-    larger ones within the finer buckets of every two bands that they share, which pairs at
-    the threshold miss in 7 of 10,000 cases and looser ones mostly do.
+    sent = needed.join(texts.select("node", "text"), "node").select("place", "node", "text", F.lit(None).cast("binary").alias("pairs"))
+    rows = sent.unionByName(pairs.select("place", F.lit(None).cast("binary").alias("node"), F.lit(None).cast("string").alias("text"), "pairs"))
+    rows = rows.repartition("place").sortWithinPartitions("place", F.col("node").asc_nulls_last())
+    return rows.mapInArrow(lambda b: _compared(b, threshold), "a binary, b binary, similarity double")
+
+
+def links(signed: DataFrame, rows: DataFrame, threshold: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """The (node, component) of all texts that share a bucket with another, and the verified links (a, b, similarity) that say so.
+
+    ``signed``: (id, node, bands, sketch); ``rows``: (id, node, text).
     """
-    buckets = signed.select("node", F.explode("bands").alias("key"))
-    several = buckets.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
-    members = write_table(buckets.join(several, "key").select("key", "node").distinct(), "members")
-    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
-    ranks = write_table(members.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("rank")), "ranks")
-    first = signed.join(ranks.select("node"), "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"), F.min("sketch").alias("sketch"))
-    marks = write_table(first, "marks")
-    own = [rows["node"] == marks["node"], rows["id"].eqNullSafe(marks["id"])]
-    texts = write_table(rows.join(marks, own).select(rows["node"], "text"), "texts")
-    leads = members.join(ranks, "node").groupBy("key").agg(F.max(F.struct("rank", "node"))["node"].alias("lead"), F.count("*").alias("size"))
-    leads = write_table(leads, "leads")
-
-    found = _Verified(texts, marks, threshold)
-    led = members.join(leads, "key").select("key", "size", "lead", "node", F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b"))
-    found.compare(led.select("lead", "node"))
-    known = led.join(found.read(), ["a", "b"], "left").select("key", "size", "node", F.when(F.col("lead") == F.col("node"), 1.0).otherwise(F.col("similarity")).alias("sim"))
-    known = write_table(known, "known")
-    # A member needs another look only if it is far from the leader and there is a third.
-    open_ = known.where((F.col("sim") < threshold) & (F.col("size") > 2)).select("key").distinct()
-    rest = known.join(open_, "key")
-    far = F.col("sim") < threshold
-    little = write_table(rest.where(F.col("size") <= small).select("key", "node", "sim"), "little")
-    if not little.isEmpty():
-        _rounds(little, little.where(far), found)
-    large = rest.where(F.col("size") > small).groupBy("node").agg(F.sort_array(F.collect_set(F.struct("key", "sim"))).alias("keys"))  # at most BANDS keys
-    two = F.explode(F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, BANDS), lambda y: F.struct(F.xxhash64(x["key"], y["key"]).alias("key"), x["sim"].alias("sim"))))))
-    fine = large.select("node", two.alias("x")).select("node", "x.key", "x.sim")
-    shared = fine.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min("sim").alias("least")).where((F.col("low") != F.col("high")) & (F.col("least") < threshold)).select("key")
-    fine = write_table(fine.join(shared, "key").select("key", "node", "sim"), "fine")
-    if not fine.isEmpty():
-        _rounds(fine, fine.where(far), found)
-    return found.near()
+    least = threshold - MARGIN
+    # Rows of one text are alike but for their ids.
+    marks = write_table(signed.groupBy("node").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "marks")
+    buckets = marks.select("node", F.explode("bands").alias("key"))
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = write_table(buckets.join(sizes, "key").select("key", "node", "n"), "members")
+    own = marks.join(members.select("node").distinct(), "node", "left_semi")
+    texts = rows.join(own.select(F.col("node").alias("m"), F.col("id").alias("i")), (F.col("node") == F.col("m")) & F.col("id").eqNullSafe(F.col("i")))
+    texts = write_table(texts.select("node", "text"), "texts")
+
+    part = lambda n, most: F.pmod(F.xxhash64("node", "key"), F.ceil(n / F.lit(most)))
+    sketched = members.join(marks.select("node", "sketch"), "node").select(F.xxhash64("key", part(F.col("n"), MANY)).alias("place"), "node", "sketch")
+    groups = sketched.groupBy("place").agg(F.sort_array(F.collect_list(F.struct("node", "sketch"))).alias("members"))
+    pairs = groups.mapInArrow(lambda b: _trees(b, least), _PAIRS).groupBy("a", "b").agg(F.min("place").alias("place"))
+    pairs = write_table(pairs.select("place", "a", "b"), "pairs")
+    needed = pairs.select("place", F.explode(F.array("a", "b")).alias("node")).distinct()
+    found = write_table(verify(needed, pairs.select("place", F.concat("a", "b").alias("pairs")), texts, threshold), "found")
+    joined = components(found)
+
+    labelled = members.join(joined, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+    parts = labelled.groupBy("key", "component").agg(F.count("*").alias("size"))
+    # Pairs alone in a bucket have been looked at.
+    open_ = parts.groupBy("key").agg(F.max(F.struct("size", "component")).alias("top"), F.sum("size").alias("n")).where("n > 2 and top.size < n")
+    rest = labelled.join(open_.select("key", F.col("top.component").alias("main"), (F.col("n") - F.col("top.size")).alias("rest")), "key")
+    rest = rest.withColumn("few", F.col("component") != F.col("main")).join(marks.select("node", "sketch", "bands"), "node")
+    one = F.struct("node", "component", "few", "asks", "sketch", "bands").alias("one")
+    blocks = lambda n, most: F.sequence(F.lit(0), (F.ceil(n / F.lit(most)) - 1).cast("int"))
+    asking = rest.where("few").withColumn("asks", F.lit(True)).select("key", part(F.col("rest"), FEW).cast("int").alias("x"), F.explode(blocks(F.col("n"), MANY)).alias("y"), one)
+    asked = rest.withColumn("asks", F.lit(False)).select("key", F.explode(blocks(F.col("rest"), FEW)).alias("x"), part(F.col("n"), MANY).cast("int").alias("y"), one)
+    groups = asking.unionByName(asked).groupBy("key", "x", "y").agg(F.collect_list("one").alias("members")).select(F.xxhash64("key", "x", "y").alias("place"), "key", "members")
+    more = write_table(groups.mapInArrow(lambda b: _crossing(b, least), "place long, nodes array<binary>, pairs binary"), "crossing")
+    if not more.isEmpty():
+        new = write_table(verify(more.select("place", F.explode("nodes").alias("node")), more, texts, threshold), "found")
+        found = found.unionByName(new)
+        joined = components(found)
+    for done in (pairs, texts, more):
+        drop_table(done)
+    return joined, found
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
-    """A row per row: id, ``node`` (name of its exact text), ``class_id``, ``copy_of``, ``n_links``.
+    """A row per row: id, ``node`` (name of its exact text), ``class_id``, ``copy_of``.
 
     ``class_id``: the smallest id in the component of near duplicates; ``copy_of``: the smallest id
-    with the very same text; ``n_links``: verified links of that text to other texts.  Null texts
+    with the very same text.  Null texts
     are empty ones; texts without words are near duplicates of the same text alone.  Repeated rows
     stay, with the same class.  Null ids stay too; a class of null ids alone has a null id.
     Other columns, however named, are left out.  An empty table gives an empty result.
@@ -311,21 +360,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("node", node_of(F.col("text")))
     kind = dict(rows.dtypes)["id"]
     signed = write_table(rows.mapInArrow(_signed, f"id {kind}, node binary, bands array<bigint>, sketch binary"), "signed")
-    found = write_table(links(signed, rows, threshold), "linked")
-    named = components(found)
+    named, _ = links(signed, rows, threshold)
     first = signed.groupBy("node").agg(F.min("id").alias("copy_of"))
-    ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    joined = first.join(named, "node", "left").join(ends, "node", "left")
-    joined = joined.withColumn("component", F.coalesce("component", "node")).withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    joined = first.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = joined.groupBy("component").agg(F.min("copy_of").alias("class_id"))
-    texts = joined.join(lowest, "component").select("node", "class_id", "copy_of", "n_links")
-    return signed.select(F.col("id").alias(id_col), "node").join(texts, "node").select(id_col, "node", "class_id", "copy_of", "n_links")
+    texts = joined.join(lowest, "component").select("node", "class_id", "copy_of")
+    return signed.select(F.col("id").alias(id_col), "node").join(texts, "node").select(F.col(f"`{id_col}`"), "node", "class_id", "copy_of")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """``df`` with one row of each class of near duplicates: that of the smallest id (one row, even if it is repeated)."""
-    named = near_duplicates(df, id_col, text_col, threshold).where(F.col("class_id").eqNullSafe(F.col(id_col)) & F.col("copy_of").eqNullSafe(F.col(id_col)))
+    own = F.col(f"`{id_col}`")
+    named = near_duplicates(df, id_col, text_col, threshold).where(F.col("class_id").eqNullSafe(own) & F.col("copy_of").eqNullSafe(own))
     # The key spreads copies of one text; it also serves the removal of repeated rows, without another shuffle.
-    kept = named.select(F.xxhash64(id_col, "node").alias("_key"), F.col("node").alias("_node"))
-    rows = df.withColumns({"_node": node_of(F.col(f"`{text_col}`"))}).withColumn("_key", F.xxhash64(F.col(id_col), "_node"))
-    return rows.join(kept, ["_key", "_node"], "left_semi").dropDuplicates(["_key", "_node"]).select(*df.columns)
+    chosen = named.select(F.xxhash64(own, "node").alias("key"), "node")
+    # The row travels as a struct, so its columns clash with none.
+    rows = df.select(F.struct("*").alias("row"), node_of(F.col(f"`{text_col}`")).alias("node"), own.alias("id"))
+    rows = rows.select("row", F.xxhash64("id", "node").alias("key"), "node")
+    return rows.join(chosen, ["key", "node"], "left_semi").dropDuplicates(["key", "node"]).select("row.*")

@@ -36,7 +36,7 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copy_of", "n_links")
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copy_of")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from labelframe.llm import anchors, decontamination, lm, minhash, packing, repeats, warc
 from labelframe.llm.common import shared_path
@@ -162,19 +163,47 @@ def test_near_duplicates_against_brute_force(spark):
     assert sorted(kept) == sorted({find(i) for i in range(len(texts))})
 
 
-def test_hot_group_goes_through_finer_buckets(spark):
+def classes_by_brute_force(texts):
+    bags = [minhash.shingles(t) for t in texts]
+    lowest = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if lowest[i] != lowest[j] and minhash.similarity(bags[i], bags[j]) >= 0.8:
+                one, other = sorted((lowest[i], lowest[j]))
+                lowest = [one if x == other else x for x in lowest]
+    return lowest
+
+
+def test_large_group_against_brute_force(spark, monkeypatch):
+    """Versions of one text, most of them too far apart; buckets are cut into blocks."""
+    monkeypatch.setattr(minhash, "FEW", 16)
+    monkeypatch.setattr(minhash, "MANY", 64)
     rng = random.Random(3)
-    base = prose(rng, 120).split()
+    base = prose(rng, 200).split()
     texts = [" ".join(base)]
-    for _ in range(60):
+    for _ in range(250):
         words = list(base)
-        for _ in range(rng.randrange(1, 8)):
+        for _ in range(rng.randrange(2, 12)):
             words[rng.randrange(len(words))] = f"e{rng.randrange(10**6)}"
         texts.append(" ".join(words))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    near = {i for i, t in enumerate(texts) if minhash.similarity(minhash.shingles(texts[0]), minhash.shingles(t)) >= 0.8}
-    rows = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(df).collect()}
-    assert all(rows[i] == 0 for i in near)
+    expected = classes_by_brute_force(texts)
+    assert 5 < len(set(expected)) < 240
+    assert {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(df).collect()} == dict(enumerate(expected))
+
+
+def test_corpus_classes_against_brute_force(spark, sf):
+    """All pairs of the texts of a generated table; recall of near pairs and of classes is 1."""
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    texts = [r["text"] for r in rows]
+    lowest = classes_by_brute_force(texts)
+    first = {t: i for i, t in reversed(list(enumerate(texts)))}
+    for i, t in enumerate(texts):  # copies without a shingle too
+        if first[t] != i and lowest[first[t]] != lowest[i]:
+            one, other = sorted((lowest[i], lowest[first[t]]))
+            lowest = [one if x == other else x for x in lowest]
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    assert got == {r["doc_id"]: rows[lowest[i]]["doc_id"] for i, r in enumerate(rows)}
 
 
 def test_odd_rows_stay(odd, none):
@@ -185,6 +214,9 @@ def test_odd_rows_stay(odd, none):
         classes[r["class_id"]].add(r["doc_id"])
     assert classes[1] == {1, 2} and classes[3] == {3, 4}
     assert minhash.keep_one(odd).count() == 8 and minhash.keep_one(odd).columns == odd.columns
+    clash = odd.withColumns({c: F.lit("own") for c in ("_node", "_key", "key", "row", "a.b")})
+    once = minhash.keep_one(clash).collect()
+    assert len(once) == 8 and all(r[c] == "own" for r in once for c in ("_node", "_key", "key", "row", "a.b"))
     assert minhash.near_duplicates(none).count() == 0
 
 
