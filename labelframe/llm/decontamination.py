@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelframe.llm.common import Memo
+from labelframe.llm.common import Memo, kept
 
 WINDOW = 5
 #: Of the window's tokens, so many must be words, not placeholders.
@@ -63,7 +63,7 @@ _PLACEHOLDER = np.array([0, _hash("<number>"), _hash("<name>"), _hash("<unit>")]
 class Canon:
     """Numbers raw words and keeps, per number: hash, kind, and whether a sentence ends there."""
 
-    def __init__(self, bound: int = 600_000):
+    def __init__(self, bound: int = 400_000):
         self.bound = bound
         self.clear()
 
@@ -130,18 +130,13 @@ def _slots(kind: np.ndarray, ids: np.ndarray, value: list[str], at: int, n: int)
     return "\x1f".join(value[ids[at + i]] for i in range(n) if kind[at + i] != WORD)
 
 
-_canons: list[Canon] = []
-
-
 def _found(batches: Iterable[pa.RecordBatch], lengths: list[int] | None, bitmap: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """A row per window: id, text's hash, window, slot values, window's length and its place in the text.
 
     With a bitmap, windows of each of ``lengths`` that it holds; without, the windows of an
     item, which for a short one are the item itself.
     """
-    if not _canons:
-        _canons.append(Canon())
-    canon = _canons[0]
+    canon = kept("decontamination", Canon)
     for batch in batches:
         out: list[tuple] = []
         for first, texts in _blocks(batch.column("text")):

@@ -22,7 +22,7 @@ import zlib
 from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterable, Iterator
-from itertools import pairwise
+from itertools import compress, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labelframe.llm.common import kept
+
 END_ID = 2
 SIZE = 4096
 BLOCK = 1 << 20
@@ -39,6 +41,7 @@ PENALTIES = (0, 1, 8)
 
 _PLAIN = re.compile(r"[!-~à-öø-ÿ\n]*")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿ]+|[0-9]|\n|[^a-zà-öø-ÿ0-9\n]+")
+_ODD = re.compile(r"[\x00-\x09\x0b-\x20\x7f]|<\|")
 _BREAK = b"\xff\xff"  # no id
 
 
@@ -67,6 +70,7 @@ class Encoder:
         others = (b for b in range(256) if b not in printable)
         self.letter = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
         self.words: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}  # words known lately; at most half of ``bound``, as ``words``
         self.pieces: dict[str, bytes] = {}
         self.bound = bound
 
@@ -74,10 +78,12 @@ class Encoder:
         plain, other = list(words), []
         lower = b"\n".join(plain).decode("utf-8", "replace").lower()
         if not _PLAIN.fullmatch(lower) or "<|" in lower:
-            spelt = {w: w.decode("utf-8", "replace").lower() for w in plain}
-            other = [w for w, s in spelt.items() if not _PLAIN.fullmatch(s) or "<|" in s]
-            plain = list(words.difference(other))
-            lower = "\n".join([spelt[w] for w in plain])
+            spelt = lower.split("\n")
+            odd = _ODD.search(lower) is not None  # else ASCII words are plain
+            good = [(s.isascii() and not odd) or (_PLAIN.fullmatch(s) is not None and "<|" not in s) for s in spelt]
+            other = [w for w, g in zip(plain, good, strict=True) if not g]
+            plain = list(compress(plain, good))
+            lower = "\n".join(compress(spelt, good))
         pieces = _PIECE.findall(lower)
         if len(self.pieces) > self.bound // 2:
             self.pieces = {}
@@ -103,8 +109,13 @@ class Encoder:
         split = [(t or "").encode("utf-8", "replace").split() for t in texts]
         missing = set().union(*split).difference(self.words)
         if missing:
-            if len(self.words) + len(missing) > self.bound:
-                self.words, missing = {}, set().union(*split)
+            if len(self.words) + len(missing) > self.bound // 2:
+                self.words, self.before, missing = {}, self.words, set().union(*split)
+            if self.before:
+                again = missing.intersection(self.before)
+                self.words.update(zip(again, map(self.before.__getitem__, again), strict=True))
+                missing.difference_update(again)
+        if missing:
             self._learn(missing)
         return [np.frombuffer(b"".join(map(self.words.__getitem__, words)), "<u2") for words in split]
 
@@ -153,24 +164,30 @@ def plan(at: np.ndarray, penalty: np.ndarray, size: int = SIZE, last: bool = Fal
     n = len(points)
     total = [0] * n
     back = [0] * n
-    index = {p: i for i, p in enumerate(points)}
-    powers = [size, size // 2]
-    queue: deque[int] = deque()
+    # The points a power of two before each, or -1.
+    exact = []
+    for length in (size, size // 2):
+        k = np.minimum(np.searchsorted(at, at - length), n - 1)
+        exact.append(np.where(at[k] == at - length, k, -1).tolist())
+    whole, half = exact
+    queue: deque[tuple[int, int, int]] = deque()  # key, point, its number; keys rise
+    last_key = points[0]  # of the point before
     for j in range(1, n):
-        i, p = j - 1, points[j]
-        key = total[i] + points[i]
-        while queue and total[queue[-1]] + points[queue[-1]] > key:
+        p = points[j]
+        while queue and queue[-1][0] > last_key:
             queue.pop()
-        queue.append(i)
-        while points[queue[0]] < p - size:
+        queue.append((last_key, points[j - 1], j - 1))
+        while queue[0][1] < p - size:
             queue.popleft()
-        i = queue[0]
-        best = total[i] + size - p + points[i]
-        for length in powers:
-            k = index.get(p - length)
-            if k is not None and total[k] < best:
-                best, i = total[k], k
-        total[j], back[j] = best + cost_at[j], i
+        key, _, i = queue[0]
+        best = key + size - p
+        if (k := whole[j]) >= 0 and total[k] < best:
+            best, i = total[k], k
+        if (k := half[j]) >= 0 and total[k] < best:
+            best, i = total[k], k
+        total[j] = best = best + cost_at[j]
+        back[j] = i
+        last_key = best + p
     if last:
         near = range(bisect_left(points, points[-1] - size), n - 1)
         back[-1] = min(near, key=lambda i: total[i] + tail_cost(points[-1] - points[i], size), default=0)
@@ -239,9 +256,6 @@ class Packer:
         self.sequence += 1
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
     """A row per piece: ``doc_id``, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset``.
 
@@ -252,9 +266,7 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
     kind = dict(df.dtypes)[id_col]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _encoders:
-            _encoders[tokenizer] = Encoder(tokenizer)
-        encoder = _encoders[tokenizer]
+        encoder = kept("packing", lambda: Encoder(tokenizer), tokenizer)
         packer = Packer(TaskContext.get().partitionId() << 40, size)
         rows: list[tuple] = []
         for batch in batches:

@@ -1,17 +1,21 @@
 """Removal of long repeated byte strings, within and across texts.
 
-A byte goes if a string of 200 bytes that covers it also starts anywhere else.  The question
-is asked of all texts at once, yet nothing is shuffled for each byte:
-
-1. Every 200-byte window has a content-defined anchor (``anchors``), about one for 70 bytes.
-   Windows whose anchor's 64 bytes occur once occur once themselves.
-2. The windows of one anchor are a zone.  Zones of equal bytes are repeated as a whole; this
-   settles everything but the ends of matches, at the cost of a row for each zone.
-3. Of the zones of an anchor that differ, one each is taken, and their windows are compared one by one.
-
-Windows are compared by 64-bit hashes of their bytes, grouped by their anchor, with map-side
-minima and maxima, so a passage that a third of all texts share is no hot spot.  Broadcast
-bitmaps of fixed size only spare work; a bit set by chance adds windows that find no partner.
+A byte goes if a string of 200 bytes that covers it also starts anywhere else.  Sorting all
+suffixes of all texts would send 200 bytes for each byte, so only suffixes at content-defined
+places are sorted:
+
+1. Every 200-byte window has an anchor (``anchors``), about one for 70 bytes; equal windows have
+   equal anchors.  The windows of one anchor are its zone.  An anchor whose 64 bytes
+   occur once has no repeated window; a join on their hashes leaves it out.
+2. Zones of equal bytes are repeated as a whole.
+3. The different zones of one anchor are sorted by deep-shallow sorting (``suffixes``): the
+   suffixes from the anchors, and the parts before them backwards.  Neighbours in these orders
+   tell how far each zone repeats.  Everything is compared byte by byte.
+
+A passage that a third of all texts share is no hot spot: its inner zones are equal, and equal zones
+are combined before they are shuffled.  Anchors with very many different zones, as at the ends
+of such a passage, are not gathered in one task: their windows are told apart by 128-bit
+digests instead, with minima and maxima that Spark combines.
 
 Exact copies of a text are known beforehand: if it has 200 bytes, all of it is repeated.
 """
@@ -19,29 +23,27 @@ Exact copies of a text are known beforehand: if it has 200 bytes, all of it is r
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelframe.llm.anchors import GRAM, LENGTH, PART, Hasher, anchors_of
-from labelframe.llm.common import write_table
+from labelframe.llm.common import drop_table, kept, write_table
 from labelframe.llm.minhash import mix, node_of
+from labelframe.llm.suffixes import extents
 
-#: Bits of the bitmaps (16 MB each).
-BITS = 1 << 27
-#: Copied texts up to which their names are sent to the scan, so that one copy alone is searched.
-SENT_COPIES = 500_000
-
-_hasher: list[Hasher] = []
+#: Different zones of an anchor (about 270 bytes each) that one task sorts.
+SORTED = 20_000
+#: Bytes of zones passed on together.
+BATCH = 8_000_000
 
 
 def _hash() -> Hasher:
-    if not _hasher:
-        _hasher.append(Hasher())
-    return _hasher[0]
+    return kept("repeats", Hasher)
 
 
 def _parts(raw: bytes) -> Iterator[tuple[int, np.ndarray]]:
@@ -53,74 +55,102 @@ def _parts(raw: bytes) -> Iterator[tuple[int, np.ndarray]]:
             yield at, part
 
 
-def _in(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys & np.uint64(BITS - 1)
-    return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-
-def bitmap_of(keys: DataFrame) -> np.ndarray:
-    """The low bits of 64-bit ``key``s as a bitmap; at most BITS / 64 rows of two numbers reach the driver."""
-    low = F.col("key").bitwiseAND(BITS - 1)
-    words = keys.select(F.shiftright(low, 6).alias("word"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("bit"))
-    got = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = np.zeros(BITS // 64, np.int64)
-    out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
-    return out.view(np.uint8)
-
-
-def _scan(rows: DataFrame, each: Callable, schema: str, names: list[str]) -> DataFrame:
-    """``each(raw) -> arrays`` over the texts, flattened, with the text's node."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held, owners, n = [], [], 0
-            for i, text in enumerate(batch.column("text")):
-                raw = text.as_py().encode("utf-8", "replace")
-                if len(raw) < LENGTH:
-                    continue
-                found = each(raw)
-                held.append(found)
-                owners.append(np.full(len(found[0]), i, np.int64))
-                n += len(found[0])
-                if n > 200_000:
-                    yield flush(batch, owners, held)
-                    held, owners, n = [], [], 0
-            if held:
-                yield flush(batch, owners, held)
-
-    def flush(batch, owners, held):
-        columns = [sum(c, []) if isinstance(c[0], list) else np.concatenate(c) for c in zip(*held, strict=True)]
-        arrays = [pa.array(c, pa.list_(pa.int64())) if isinstance(c, list) else pa.array(c) for c in columns]
-        return pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(np.concatenate(owners))), *arrays], names=["node", *names])
-
-    return rows.select("node", "text").mapInArrow(run, f"node binary, {schema}")
-
-
-def _zones(raw: bytes, starts_only: bool = False) -> tuple:
-    """For each anchor of a text: its gram's hash, the hash of its zone (all bytes of the windows
-    that it is the anchor of, and where it lies in them), the first and last of their starts."""
+def zones_of(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Of each anchor of a text the hash of its bytes and its place: the first start of its windows,
+    how many more there are, and how far behind the first the anchor stands, in one number."""
     h = _hash()
-    grams, zones, first, last = [], [], [], []
+    grams, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for base, part in _parts(raw):
-        prefix = h.prefix(part)
-        g = h.windows(prefix, slice(None), GRAM)
+        g = h.windows(h.prefix(part), slice(None), GRAM)
         anchor = anchors_of(g)
         at, begin = np.unique(anchor, return_index=True)
-        end = np.append(begin[1:], len(anchor)) - 1
+        more = np.append(begin[1:], len(anchor)) - 1 - begin
         grams.append(g[at])
-        first.append(begin + base)
-        last.append(end + base)
-        if not starts_only:
-            size = (end + LENGTH - begin).astype(np.uint64)
-            body = (prefix[end + LENGTH] - prefix[begin]) * h.down[begin]
-            zones.append(mix(body + mix(size * np.uint64(1009) + (at - begin).astype(np.uint64))))
-    return tuple(np.concatenate(x) for x in (grams, zones, first, last) if x)
-
-
-def _place_keys(raw: bytes, first: np.ndarray) -> np.ndarray:
-    """A hash of the text and a place in it."""
-    name = int.from_bytes(hashlib.md5(raw).digest()[:8], "little")
-    return mix(np.uint64(name) + first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        places.append((begin + base) << 16 | more << 8 | (at - begin))
+    return np.concatenate(grams).view(np.int64), np.concatenate(places)
+
+
+def _anchored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [zones_of(t.as_py().encode("utf-8", "replace")) for t in batch.column("text")]
+        cuts = np.concatenate([[0], np.cumsum([len(g) for g, _ in found])]).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64))) for k in range(2)]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", "node", "n_bytes", "whole")], *lists], names=["id", "node", "n_bytes", "whole", "grams", "places"])
+
+
+_ZONES = "node binary, first long, gram long, name binary, at int, more int, body binary, low long, high long"
+
+
+def _cut_out(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts' zones with their bytes, each different zone's once for a text, with two places of it there (equal ones, if it has one)."""
+    names = [x.split()[0] for x in _ZONES.split(", ")]
+    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+    rows: list[list] = []
+    held = 0
+
+    def flush() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], names=names)
+
+    for batch in batches:
+        for node, text, zones in zip(batch.column("node").to_pylist(), batch.column("text"), batch.column("zones"), strict=True):
+            raw = text.as_py().encode("utf-8", "replace")
+            salt = np.uint64(int.from_bytes(node[:8], "little"))
+            met: dict[bytes, list] = {}
+            for zone in zones.as_py():
+                first, more, at = zone["place"] >> 16, zone["place"] >> 8 & 255, zone["place"] & 255
+                body = raw[first : first + more + LENGTH]
+                name = xxhash.xxh3_128_digest(body, at)
+                place = int(mix(np.uint64(first) * np.uint64(0x9E3779B97F4A7C15) + salt).view(np.int64))
+                if (known := met.get(name)) is not None:
+                    known[7], known[8] = min(known[7], place), max(known[8], place)
+                    rows.append([node, first, zone["gram"], name, at, more, None, None, None])
+                else:
+                    met[name] = row = [node, first, zone["gram"], name, at, more, body, place, place]
+                    rows.append(row)
+                    held += len(body)
+            if held > BATCH or len(rows) > 100_000:
+                yield flush()
+                rows, held = [], 0
+    if rows:
+        yield flush()
+
+
+def _sorted_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(name, a, b): of each zone that is not repeated as a whole, where its first and last repeated windows start."""
+    for batch in batches:
+        out: tuple[list, list, list] = ([], [], [])
+        for zones in batch.column("zones"):
+            zones = sorted(zones.as_py(), key=lambda z: z["name"])
+            for zone, found in zip(zones, extents([(z["body"], z["at"]) for z in zones]), strict=True):
+                if found and not zone["whole"]:
+                    for column, value in zip(out, (zone["name"], *found), strict=True):
+                        column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], names=["name", "a", "b"])
+
+
+def _windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for name, body, at in zip(batch.column("name").to_pylist(), batch.column("body").to_pylist(), batch.column("at").to_pylist(), strict=True):
+            starts = range(len(body) - LENGTH + 1)
+            digests = [xxhash.xxh3_128_digest(body[s : s + LENGTH], at - s) for s in starts]
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(digests), pa.binary()), pa.array(list(starts), pa.int64()), pa.array(digests, pa.binary())], names=["name", "start", "window"])
+
+
+def repeated_parts(kinds: DataFrame) -> DataFrame:
+    """(name, a, b): where the first and the last repeated window of a zone start, from its begin.
+
+    ``kinds``: (gram, name, at, more, body, whole), the different zones.
+    """
+    whole = kinds.where("whole").select("name", F.lit(0).cast("long").alias("a"), F.col("more").cast("long").alias("b"))
+    sizes = kinds.groupBy("gram").agg(F.count("*").alias("n"), F.min("whole").alias("all")).where("n > 1 and not all").select("gram", "n")
+    open_ = kinds.join(sizes, "gram")
+    groups = open_.where(F.col("n") <= SORTED).groupBy("gram").agg(F.collect_list(F.struct("name", "body", "at", "whole")).alias("zones"))
+    parts = groups.select("zones").mapInArrow(_sorted_groups, "name binary, a long, b long")
+    large = open_.where(F.col("n") > SORTED).select("name", "body", "at").mapInArrow(_windows, "name binary, start long, window binary")
+    double = large.groupBy("window").agg(F.min("name").alias("low"), F.max("name").alias("high")).where("low <> high").select("window")
+    ends = large.join(double, "window").groupBy("name").agg(F.min("start").alias("a"), F.max("start").alias("b"))
+    ends = ends.join(kinds.where("whole").select("name"), "name", "left_anti")
+    return whole.unionByName(parts).unionByName(ends)
 
 
 def _removed(raw: bytes, starts: list[int]) -> tuple[int, int, str]:
@@ -129,68 +159,19 @@ def _removed(raw: bytes, starts: list[int]) -> tuple[int, int, str]:
     new = np.ones(len(s), bool)
     new[1:] = s[1:] - s[:-1] > LENGTH
     begin, end = s[new], s[np.append(new[1:], True)] + LENGTH
-    kept, at = hashlib.sha256(), 0
+    rest, at = hashlib.sha256(), 0
     for a, b in zip(begin.tolist(), end.tolist(), strict=True):
-        kept.update(raw[at:a])
+        rest.update(raw[at:a])
         at = b
-    kept.update(raw[at:])
-    return int((end - begin).sum()), len(begin), kept.hexdigest()
+    rest.update(raw[at:])
+    return int((end - begin).sum()), len(begin), rest.hexdigest()
 
 
-def repeated_windows(rows: DataFrame) -> DataFrame:
-    """(node, starts): places of repeated 200-byte windows that cover all repeated bytes of each text.
-
-    ``rows``: (node, text), each text once or more.
-    """
-    spark = rows.sparkSession
-    apart = lambda c: F.min(c) != F.max(c)  # noqa: E731  two places at least
-    signed = lambda a: a.view(np.int64)
-
-    def grams_of(raw: bytes) -> tuple:
-        grams, first, _ = _zones(raw, starts_only=True)
-        return signed(grams), signed(_place_keys(raw, first))
-
-    one = _scan(rows, grams_of, "gram long, place long", ["gram", "place"])
-    twice = one.groupBy("gram").agg(apart("place").alias("twice")).where("twice").select(F.col("gram").alias("key"))
-    shared = spark.sparkContext.broadcast(bitmap_of(twice))
-
-    def zones_of(raw: bytes) -> tuple:
-        found = _zones(raw)
-        here = _in(shared.value, found[0])
-        grams, zones, first, last = (x[here] for x in found)
-        return signed(grams), signed(zones), first, last, signed(_place_keys(raw, first))
-
-    schema = "gram long, zone long, first long, last long, place long"
-    found = write_table(_scan(rows, zones_of, schema, schema.replace(" long", "").split(", ")), "zones")
-    kinds = found.groupBy("gram", "zone").agg(apart("place").alias("whole"), F.min("place").alias("place"))
-    kinds = write_table(kinds, "kinds")
-    whole = found.join(kinds.where("whole").select("gram", "zone"), ["gram", "zone"])
-    # An anchor whose zones are all repeated as a whole needs no look at windows; a zone of its own may repeat itself.
-    open_ = kinds.where("not whole").select("gram").distinct()
-    chosen = kinds.join(open_, "gram", "left_semi").select(F.col("place").alias("key"))
-    taken = spark.sparkContext.broadcast(bitmap_of(chosen))
-
-    def windows_of(raw: bytes) -> tuple:
-        h = _hash()
-        grams, first, last = _zones(raw, starts_only=True)
-        here = _in(shared.value, grams)
-        here[here] = _in(taken.value, _place_keys(raw, first[here]))
-        data = np.frombuffer(raw, np.uint8)
-        hashes = []
-        for a, b in zip(first[here].tolist(), last[here].tolist(), strict=True):
-            part = data[a : b + LENGTH]
-            hashes.append(signed(h.windows(h.prefix(part), slice(None), LENGTH)).tolist())
-        return signed(grams[here]), first[here], hashes
-
-    zones = _scan(rows, windows_of, "gram long, start long, hashes array<bigint>", ["gram", "start", "hashes"])
-    # Equal windows have equal anchors, so after this one shuffle by anchor all that follows is in place.
-    windows = zones.repartition("gram").select("gram", "node", F.col("start").alias("zone"), F.posexplode("hashes").alias("i", "window"))
-    windows = windows.withColumn("start", F.col("zone") + F.col("i"))
-    double = windows.groupBy("gram", "window").agg(apart(F.xxhash64("node", "start")).alias("double")).where("double").drop("double")
-    # The windows of one anchor start within fewer bytes than a window has: the first and last repeated ones cover what lies between.
-    ends = windows.join(double, ["gram", "window"]).groupBy("gram", "node", "zone").agg(F.min("start").alias("a"), F.max("start").alias("b"))
-    both = whole.select("node", F.col("first").alias("a"), F.col("last").alias("b")).unionByName(ends.select("node", "a", "b"))
-    return both.select("node", F.explode(F.array("a", "b")).alias("start")).groupBy("node").agg(F.collect_set("start").alias("starts"))
+def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = [_removed(t.as_py().encode("utf-8", "replace"), s.as_py()) for t, s in zip(batch.column("text"), batch.column("starts"), strict=True)]
+        columns = [pa.array([r[j] for r in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.string()))]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), *columns], names=["node", "n_removed", "n_spans", "rest"])
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,27 +182,38 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     an empty table gives an empty result.
     """
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("node", node_of(F.col("text")))
-    narrow = write_table(rows.select("id", "node", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text"), 256).alias("whole")), "texts")
-    copies = narrow.where(F.col("n_bytes") >= LENGTH).groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("keep")).where("n > 1").select("node", "keep")
-    copies = write_table(copies, "copies")
-    searched = rows
-    if copies.count() <= SENT_COPIES:
-        searched = rows.join(F.broadcast(copies), "node", "left").where(F.col("keep").isNull() | (F.col("id") == F.col("keep"))).select("id", "text", "node")
-    covered = repeated_windows(searched).join(copies, "node", "left_anti")
-
-    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [_removed(t.as_py().encode("utf-8", "replace"), s.as_py()) for t, s in zip(batch.column("text"), batch.column("starts"), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), *[pa.array([r[j] for r in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.string()))]], names=["node", "n_removed", "n_spans", "kept"],
-            )
-
-    done = searched.join(covered, "node").select("node", "text", "starts").mapInArrow(cut, "node binary, n_removed long, n_spans long, kept string")
-    copied = copies.select("node", F.lit(True).alias("copied"))
-    out = narrow.join(done, "node", "left").join(copied, "node", "left")
+    told = rows.withColumn("n_bytes", F.octet_length("text").cast("long")).withColumn("whole", F.sha2(F.col("text"), 256))
+    kind = dict(rows.dtypes)["id"]
+    texts = told.mapInArrow(_anchored, f"id {kind}, node binary, n_bytes long, whole string, grams array<bigint>, places array<bigint>")
+    texts = write_table(texts.withColumn("row", F.monotonically_increasing_id()), "anchored")
+    first = write_table(texts.groupBy("node").agg(F.min("row").alias("row"), F.count("*").alias("n"), F.max("n_bytes").alias("size")), "nodes")
+    copies = first.where((F.col("n") > 1) & (F.col("size") >= LENGTH)).select("node")
+
+    zones = texts.select("row", F.xxhash64("node").alias("text"), F.explode(F.arrays_zip("grams", "places")).alias("x")).select("row", "text", F.col("x.grams").alias("gram"), F.col("x.places").alias("place"))
+    place = F.xxhash64("text", "place")
+    twice = zones.groupBy("gram").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("gram")
+    hits = zones.select("row", "gram", "place").join(write_table(twice, "grams"), "gram")
+    hits = hits.groupBy("row").agg(F.collect_list(F.struct("gram", "place")).alias("zones"))
+    # Of copies one is looked at; it is found by its id and bytes in the texts, which have no number of their own.
+    named = texts.join(first.select("row"), "row", "left_semi").select("row", "node", F.col("id").alias("own"))
+    hits = write_table(hits.join(named, "row").select(F.col("node").alias("name"), "own", "zones"), "hits")
+    searched = rows.join(hits, (F.col("node") == F.col("name")) & F.col("id").eqNullSafe(F.col("own")))
+    cut_out = write_table(searched.select("node", "text", "zones").mapInArrow(_cut_out, _ZONES), "zones")
+
+    kinds = cut_out.where("body is not null").groupBy("gram", "name", "at", "more", "body").agg((F.min("low") != F.max("high")).alias("whole"))
+    kinds = write_table(kinds, "kinds")
+    ranges = write_table(repeated_parts(kinds), "ranges")
+    ends = cut_out.select("node", "first", "name").join(ranges, "name").select("node", F.explode(F.array(F.col("first") + F.col("a"), F.col("first") + F.col("b"))).alias("start"))
+    covered = ends.groupBy("node").agg(F.collect_set("start").alias("starts")).join(copies, "node", "left_anti")
+    covered = write_table(covered.join(hits.select(F.col("name").alias("node"), "own"), "node").select(F.col("node").alias("name"), "own", "starts"), "covered")
+    drop_table(cut_out)
+    done = rows.join(covered, (F.col("node") == F.col("name")) & F.col("id").eqNullSafe(F.col("own"))).select("node", "text", "starts")
+    done = done.mapInArrow(_cut, "node binary, n_removed long, n_spans long, rest string")
+    done = write_table(done, "removed").groupBy("node").agg(F.max("n_removed").alias("n_removed"), F.max("n_spans").alias("n_spans"), F.max("rest").alias("rest"))
+    out = texts.select("id", "node", "n_bytes", "whole").join(done, "node", "left").join(copies.withColumn("copied", F.lit(True)), "node", "left")
     copied = F.col("copied").isNotNull()
     return out.select(
         F.col("id").alias(id_col), "n_bytes", F.when(copied, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(copied, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(copied, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept", "whole")).alias("kept_sha256"),
+        F.when(copied, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("rest", "whole")).alias("kept_sha256"),
     )

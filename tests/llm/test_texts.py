@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from labelframe.llm import anchors, decontamination, lm, minhash, packing, repeats, warc
+from labelframe.llm import anchors, decontamination, lm, minhash, packing, repeats, suffixes, warc
 from labelframe.llm.common import shared_path
 from labelframe.llm.graphs import components
 
@@ -250,6 +250,43 @@ def test_repeats_against_brute_force(spark, odd, none):
     assert repeats.remove_repeats(odd).count() == 11 and repeats.remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("most", [20_000, 3])
+def test_short_line_and_passage_in_many_texts(spark, monkeypatch, most):
+    """A line of 121 bytes that repeats nothing, and a passage with other surroundings everywhere; with groups in one task and not."""
+    monkeypatch.setattr(repeats, "SORTED", most)
+    rng = random.Random(11)
+    line, passage = prose(rng, 40)[:121], prose(rng, 80)[:310]
+    texts = [prose(rng, rng.randrange(5, 40)) + (line if k % 3 else passage) + prose(rng, rng.randrange(5, 40)) for k in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: tuple(r)[1:] for r in repeats.remove_repeats(df).collect()}
+    assert rows == dict(enumerate(slow_removal(texts)))
+
+
+def test_deep_shallow_sorting():
+    rng = random.Random(5)
+    some = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(0, 220))) for _ in range(60)]
+    some += [some[0][:100] + x for x in some[:20]] + [b"x" * 150 + x for x in some] + some[:10] + [b""]
+    assert [some[i] for i in suffixes.deep_shallow(some)] == sorted(some)
+
+
+def test_extents_against_brute_force():
+    rng = random.Random(1)
+
+    def slow(zones, length):
+        for i, (body, at) in enumerate(zones):
+            hits = []
+            for s in range(min(at, len(body) - length) + 1):
+                k = at - s
+                if any(j != i and other >= k and text[other - k : other - k + length] == body[s : s + length] for j, (text, other) in enumerate(zones)):
+                    hits.append(s)
+            yield (hits[0], hits[-1]) if hits else None
+
+    for _ in range(100):
+        parts = [[bytes(rng.choice(b"ab") for _ in range(rng.randrange(9))) for _ in range(2)] for _ in range(rng.randrange(2, 30))]
+        zones = list({(a + b"GRAM" + b, len(a)) for a, b in parts if len(a + b) >= 8})
+        assert suffixes.extents(zones, 12, 4) == list(slow(zones, 12))
+
+
 def test_anchor_of_each_window():
     rng = np.random.default_rng(0)
     grams = rng.integers(0, 2**63, 500, dtype=np.uint64)
