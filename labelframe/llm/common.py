@@ -98,6 +98,14 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with marks behind it until no column of ``df`` is named so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def bucket_of(id_column: str | Column, modulus: int) -> Column:
     """crc32 of an id as text, modulo ``modulus``."""
     c = F.col(id_column) if isinstance(id_column, str) else id_column

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelframe.llm.common import Memo, kept
+from labelframe.llm.common import Memo, free_name, kept
 
 WINDOW = 5
 #: Of the window's tokens, so many must be words, not placeholders.
@@ -247,15 +247,16 @@ def leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     items = items.select(F.col("id").alias("item"), F.col("text_hash").alias("item_hash"), "window", F.col("slots").alias("item_slots"), "n", "place")
     total = items.groupBy("item", "item_hash").agg(F.count_distinct("window").alias("total"), (F.max("place") - F.min("place") + 1).alias("length"))
     items = items.drop("place").distinct()
-    # At most BITS rows of two small numbers, whatever the benchmark's size.
-    marked = items.select(F.col("window").bitwiseAND(BITS - 1).cast("int").alias("bit"), "n").distinct().toPandas()
-    bitmap = np.zeros(BITS, bool)
-    bitmap[marked["bit"].to_numpy(np.int64)] = True
-    lengths = sorted(set(marked["n"].tolist()))
-    shared = spark.sparkContext.broadcast(np.packbits(bitmap))
+    # At most BITS / 64 rows of two numbers, whatever the benchmark's size.
+    bit = F.col("window").bitwiseAND(BITS - 1)
+    words = items.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(window & 63 as int))")).alias("bits")).toPandas()
+    bitmap = np.zeros(BITS // 64, np.int64)
+    bitmap[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    lengths = sorted(r["n"] for r in items.select("n").distinct().collect())  # 1 to WINDOW
+    shared = spark.sparkContext.broadcast(bitmap)
 
     def of_documents(batches):
-        return _found(batches, lengths, np.unpackbits(shared.value).astype(bool)) if lengths else iter(())
+        return _found(batches, lengths, np.unpackbits(shared.value.view(np.uint8), bitorder="little").astype(bool)) if lengths else iter(())
 
     hits = _rows(documents, id_col, text_col).mapInArrow(of_documents, schema.format(dict(documents.dtypes)[id_col])).drop("n")
     matched = hits.join(items.drop("n"), "window")
@@ -271,6 +272,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 def remove_leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``documents`` without the rows that leak an item; null ids and texts are told apart from others null-safely."""
-    bad = leaks(documents, benchmark, id_col, text_col, **options).select(F.col(f"`{id_col}`").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    on = F.col(f"d.`{id_col}`").eqNullSafe(F.col("_id")) & (F.xxhash64(f"d.`{text_col}`") == F.col("_hash"))
-    return documents.alias("d").join(bad, on, "left_anti")
+    own, hashed = free_name(documents, "_id"), free_name(documents, "_hash")
+    bad = leaks(documents, benchmark, id_col, text_col, **options).select(F.col(f"`{id_col}`").alias(own), F.col("text_hash").alias(hashed)).distinct()
+    on = documents[f"`{id_col}`"].eqNullSafe(bad[own]) & (F.xxhash64(documents[f"`{text_col}`"]) == bad[hashed])
+    return documents.join(bad, on, "left_anti")

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labelframe.llm.common import without, write_table
 
@@ -164,17 +165,20 @@ def fit(patterns: np.ndarray, counts: np.ndarray, n_rules: int, rounds: int = 20
 
 def measure(df: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
     """``df`` without its text, with the measures and the vote pattern of each text."""
-    keep = [c for c in without(df, [*MEASURES, "pattern"]).columns if c != text_col]
-    fields = ", ".join((*[f"`{c}` {t}" for c, t in df.dtypes if c in keep], *[f"{m} long" for m in MEASURES], "pattern long"))
+    keep = [F.col(f"`{c}`") for c in without(df, [*MEASURES, "pattern"]).columns if c != text_col]
+    # The other columns travel as a struct, whatever their names.
+    rows = df.select(F.struct(*keep).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    schema = T.StructType([rows.schema["row"], *[T.StructField(m, T.LongType()) for m in (*MEASURES, "pattern")]])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([measures(x.as_py()) for x in batch.column(text_col)], np.int64).reshape(-1, len(MEASURES))
+            found = np.array([measures(x.as_py()) for x in batch.column("text")], np.int64).reshape(-1, len(MEASURES))
             columns = {m: found[:, i] for i, m in enumerate(MEASURES)}
-            arrays = [batch.column(c) for c in keep] + [pa.array(columns[m]) for m in MEASURES] + [pa.array(patterns_of(votes(columns, rules)))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *MEASURES, "pattern"])
+            arrays = [batch.column("row")] + [pa.array(columns[m]) for m in MEASURES] + [pa.array(patterns_of(votes(columns, rules)))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["row", *MEASURES, "pattern"])
 
-    return df.select(*[f"`{c}`" for c in (*keep, text_col)]).mapInArrow(run, fields)
+    found = rows.mapInArrow(run, schema)
+    return found.select("row.*", *MEASURES, "pattern")
 
 
 def judge_quality(df: DataFrame, text_col: str = "text", threshold: float = 0.5, rules=RULES) -> DataFrame:

@@ -50,7 +50,7 @@ def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = shared_path(spark, "warc")
-    warc.write_warc(table(spark, sf_dir, "pages"), root)
+    warc.write_warc(table(spark, sf_dir, "pages"), root, shard_bytes=64 << 20, roll_bytes=8 << 20)
     return warc.read_warc(spark, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelframe.llm.common import sample_texts, without
+from labelframe.llm.common import free_name, sample_texts, without
 
 #: The base patterns, fixed values; letters of the first group in either case.
 KEYWORDS = ("password", "passwd", "secret", "token", "api_?key")
@@ -172,13 +172,13 @@ def scan(df: DataFrame, weights: list[float], text_col: str = "text", log_odds:
 
     Places are in code points, ends exclusive; kinds number ``KINDS``.  The models judge runs of 16
     or more characters with a letter and a digit that touch no base span.  One narrow pass without
-    a shuffle.  Null and empty texts have no spans; repeated rows are scanned alike; clashing input
-    columns give way.
+    a shuffle.  Null and empty texts have no spans; long texts are scanned whole; repeated rows are
+    scanned alike; input columns named ``base`` or ``found`` give way; an empty table gives an empty result.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     out = without(df, ["base", "found"])
-    names = [F.col(f"`{c}`") for c in out.columns]
-    out = out.select(*names, base_spans(text).alias("base"), _when(text, text.rlike(TOKEN), _found(text, 3, TOKEN, LEAST_TOKEN)).alias("_tokens"))
+    names, hidden = [F.col(f"`{c}`") for c in out.columns], free_name(out, "_tokens")
+    out = out.select(*names, base_spans(text).alias("base"), _when(text, text.rlike(TOKEN), _found(text, 3, TOKEN, LEAST_TOKEN)).alias(hidden))
     base = F.col("base")
 
     def secret(x: Column) -> Column:
@@ -186,7 +186,7 @@ def scan(df: DataFrame, weights: list[float], text_col: str = "text", log_odds:
         apart = ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
         return mixed & apart & (log_ratio(x["value"], weights) > log_odds)
 
-    tokens = F.when(F.size("_tokens") > 0, F.filter("_tokens", secret)).otherwise(F.array().cast(_SPANS))
+    tokens = F.when(F.size(hidden) > 0, F.filter(hidden, secret)).otherwise(F.array().cast(_SPANS))
     return out.select(*names, "base", F.array_sort(F.concat(base, tokens)).alias("found"))
 
 

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelframe.llm.common import UPPER, Memo, without
+from labelframe.llm.common import Memo, UPPER, free_name, kept, without
 
 #: Rules are sent to every executor; a longer list is refused.
 MAX_RULES = 500_000
@@ -170,13 +170,13 @@ def filter_urls(df: DataFrame, url_col: str = "url", rules: tuple[Rule, ...] = H
 
     @F.pandas_udf("rule string, verdict string, n_tried int")
     def verdicts(host: pd.Series, path: pd.Series, rest: pd.Series) -> pd.DataFrame:
-        compiled = Memo(lambda i: re.compile(rules[i].regex, re.DOTALL))  # only candidates are compiled
+        compiled = kept("url_filters", lambda: Memo(lambda i: re.compile(rules[i].regex, re.DOTALL)), rules)  # only candidates are compiled
         rows = [judge(h, p, x, rules, compiled, index, always) for h, p, x in zip(host, path, rest, strict=True)]
         return pd.DataFrame(rows, columns=["rule", "verdict", "n_tried"])
 
     url = F.coalesce(F.col(f"`{url_col}`"), F.lit(""))
     out = without(df, ["host", "path", "rule", "verdict", "n_tried"])
-    kept = [F.col(f"`{c}`") for c in out.columns]
-    out = out.select(*kept, host_of(url).alias("host"), path_of(url).alias("path"), F.lower(_rest(url)).alias("_rest"))
-    out = out.withColumn("_v", verdicts("host", "path", "_rest"))
-    return out.select(*kept, "host", "path", "_v.rule", "_v.verdict", "_v.n_tried")
+    own, rest, judged = [F.col(f"`{c}`") for c in out.columns], free_name(out, "_rest"), free_name(out, "_judged")
+    out = out.select(*own, host_of(url).alias("host"), path_of(url).alias("path"), F.lower(_rest(url)).alias(rest))
+    out = out.withColumn(judged, verdicts("host", "path", rest))
+    return out.select(*own, "host", "path", f"{judged}.rule", f"{judged}.verdict", f"{judged}.n_tried")

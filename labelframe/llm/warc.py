@@ -30,8 +30,13 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelframe.llm.common import UPPER, write_table
+
 #: Bins of the key's range whose sizes decide the shards' bounds; as many rows reach the driver at most.
 BINS = 16_384
+#: Finer bins that a bin with more than a shard is cut into.
+CUT = 16
+ALPHABET = UPPER + "234567"  # of base32
 DATE = "2024-01-01T00:00:00Z"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # of URLs, RFC 4122
 
@@ -42,18 +47,68 @@ def base32_sha1(text: Column) -> Column:
     """Upper-case base32 of the SHA-1 of a string's UTF-8 bytes, by SQL functions."""
     hexed = F.sha1(text.cast("binary"))
     digits = F.concat(*[F.lpad(F.conv(F.substring(hexed, 1 + 10 * i, 10), 16, 32), 8, "0") for i in range(4)])
-    return F.translate(digits, "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+    return F.translate(digits, "0123456789ABCDEFGHIJKLMNOPQRSTUV", ALPHABET)
+
+
+def _numbers(values: list[int]) -> Column:
+    """A constant array; as one literal, since thousands of them are slow to analyse."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
+
 
+def shards_of(rows: DataFrame, shard_bytes: int) -> tuple[Column, int]:
+    """The shard of each row as a function of its ``key`` and ``digest``, and the number of shards; ``rows``: (key, digest, size).
 
-def shard_bounds(sizes: list[tuple[int, int]], shard_bytes: int) -> dict[int, int]:
-    """The shard of each bin; ``sizes``: bins in order with their bytes."""
-    out, shard, held = {}, 0, 0
-    for i, n in sizes:
-        if held and held + n > shard_bytes:
-            shard, held = shard + 1, 0
-        out[i] = shard
-        held += n
-    return out
+    Keys are binned; bins that hold more than a shard are cut into ``CUT`` finer ones, again and
+    again down to single keys, so keys that lie far apart or close together make no large shard.
+    Sizes are exact sums, so the same rows always give the same shards.  Null keys come first,
+    dealt by digest.  Above ``BINS`` shards, these grow instead.
+    """
+    known = rows.where("key is not null")
+    least = known.agg(F.min("key").alias("lo"), F.max("key").alias("hi")).first()
+    bytes_of = {r["null"]: r["n"] for r in rows.groupBy(F.col("key").isNull().alias("null")).agg(F.sum("size").alias("n")).collect()}
+    shard_bytes = max(shard_bytes, sum(bytes_of.values()) // BINS)
+    lo, hi = least["lo"] or 0, least["hi"] or 0
+    width = 1
+    while (hi - lo) // width >= BINS:
+        width *= CUT
+    place = F.col("key").cast("decimal(20,0)") - F.lit(lo)
+    step = lambda x, w: ((x - x % F.lit(w)) / F.lit(w)).cast("int")
+    slots, tables = [step(place, width)], []
+    while True:
+        sizes = {r["slot"]: r["n"] for r in known.groupBy(slots[-1].alias("slot")).agg(F.sum("size").alias("n")).where("slot >= 0").collect()}
+        heavy = sorted(s for s, n in sizes.items() if n > shard_bytes) if width > 1 else []
+        children = {s: k * CUT for k, s in enumerate(heavy)}
+        tables.append((sizes, children))
+        if not heavy:
+            break
+        first = [-CUT] * (max(sizes) + 1)  # below 0 with whatever is added
+        for s, at in children.items():
+            first[s] = at
+        slots.append(F.get(_numbers(first), slots[-1]) + step(place % F.lit(width), width // CUT))
+        width //= CUT
+
+    nulls = min(1024, -(-bytes_of.get(True, 0) // shard_bytes))
+    shard, held = nulls, 0
+    lookups = [[-1] * (max(sizes, default=0) + 1) for sizes, _ in tables]
+
+    def deal(level: int, own: list[int]) -> None:
+        nonlocal shard, held
+        sizes, children = tables[level]
+        for s in own:
+            if s in children:
+                deal(level + 1, [c for c in range(children[s], children[s] + CUT) if c in tables[level + 1][0]])
+                continue
+            if held and held + sizes[s] > shard_bytes:
+                shard, held = shard + 1, 0
+            lookups[level][s] = shard
+            held += sizes[s]
+
+    deal(0, sorted(tables[0][0]))
+    found = [F.get(_numbers(lookup), s) for lookup, s in zip(lookups, slots, strict=True)]
+    of_key = F.greatest(*found, F.lit(-1))
+    letters = [F.instr(F.lit(ALPHABET), F.substring("digest", i, 1)) - 1 for i in (1, 2)]
+    of_null = F.floor((letters[0] * 32 + letters[1]) * nulls / 1024).cast("int")
+    return F.when(F.col("key").isNull(), of_null).otherwise(of_key), shard + 1
 
 
 def _header(lines: list[tuple[str, str]]) -> bytes:
@@ -135,7 +190,7 @@ class _ShardFiles:
             self.sink = None
 
 
-def write_warc(df: DataFrame, root: str, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, shard_bytes: int = 64 << 20, roll_bytes: int = 64 << 20) -> DataFrame:
+def write_warc(df: DataFrame, root: str, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, shard_bytes: int = 256 << 20, roll_bytes: int = 32 << 20) -> DataFrame:
     """Write ``df`` as WARC files under ``root``; returns the manifest (file, shard, records, bytes, sha256).
 
     ``key`` is an integer column.  Null payloads are empty; a null URL has no target
@@ -150,21 +205,10 @@ def write_warc(df: DataFrame, root: str, key: str = "page_id", url: str = "url",
     spark = df.sparkSession
     rows = df.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{url}`").alias("url"), F.coalesce(F.col(f"`{payload}`"), F.lit("")).alias("payload"))
     size = F.octet_length("payload").cast("long")
-    lo, hi = rows.agg(F.min("key"), F.max("key")).first()
-    lo, hi = lo or 0, hi or 0
-    width = (hi - lo) // BINS + 1
-    of_bin = F.coalesce(F.floor((F.col("key") - F.lit(lo)) / F.lit(width)), F.lit(0)).cast("int")
-    sizes = sorted((r["bin"], r["n"]) for r in rows.groupBy(of_bin.alias("bin")).agg(F.sum(size + 600).alias("n")).collect())
-    shard_of = shard_bounds(sizes, shard_bytes)
-    shards = max(shard_of.values(), default=0) + 1
-    lookup = [0] * (max(shard_of, default=0) + 1)
-    for i, s in shard_of.items():
-        lookup[i] = s
-    # Bins without rows are never asked for, so the zeros in between don't matter.
-    shard = F.get(F.lit(lookup), of_bin)
-
     rows = rows.withColumn("digest", base32_sha1(F.col("payload")))
-    ids = rows.where(size >= min_bytes).select("key", "digest")
+    narrow = write_table(rows.select("key", "digest", (size + 600).alias("size"), (size >= min_bytes).alias("large")), "digests")
+    shard, shards = shards_of(narrow, shard_bytes)
+    ids = narrow.where("large").select("key", "digest")
     firsts = ids.groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     marks = ids.join(firsts, "digest").where(F.col("key") > F.col("first")).select("key", F.col("digest"), "first").groupBy("key", "digest").agg(F.first("first").alias("first"))
     both = rows.withColumns({"first": F.lit(None).cast("long"), "mark": F.lit(0)}).unionByName(marks.withColumn("mark", F.lit(-1)), allowMissingColumns=True)

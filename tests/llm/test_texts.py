@@ -297,6 +297,24 @@ def test_anchor_of_each_window():
 # ---- WARC
 
 
+def test_shards_of_far_ids_nulls_and_long_payloads(spark):
+    """One far id, many nulls and a long payload make no large shard; columns named like the writer's own stay out."""
+    rows = [(i, f"http://a/{i}", "x" * 400 + str(i)) for i in range(2000)] + [(10**15, "http://far", "far"), (5, "http://long", "é" * 3_000_000)]
+    rows += [(None, f"http://n/{i}", "y" * 400 + str(i)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("clash") for c in ("key", "digest", "first", "mark", "shard", "size", "a.b")})
+    root = shared_path(spark, "warc-far")
+    manifest = warc.write_warc(df, root, shard_bytes=100_000, roll_bytes=4_000).collect()
+    records = collections.Counter()
+    for r in manifest:
+        records[r["shard"]] += r["records"]
+    assert len(records) > 25 and max(records.values()) <= 170
+    assert len(manifest) > len(records)  # files roll within a shard
+    back = warc.read_warc(spark, root).collect()
+    assert len(back) == 3002 and max(r["payload_bytes"] for r in back) == 6_000_000
+    again = warc.write_warc(df.repartition(7), shared_path(spark, "warc-far"), shard_bytes=100_000, roll_bytes=4_000).collect()
+    assert sorted((r["file"].split("/")[-1], r["sha256"]) for r in again) == sorted((r["file"].split("/")[-1], r["sha256"]) for r in manifest)
+
+
 def test_warc_round_trip(spark):
     rows = [(i, f"http://x.example/{i}\r\nX: y", ("<p>same</p>" if i % 3 == 0 else f"<p>é {i}</p>" * (i % 7)) or None) for i in range(200)]
     rows += [(None, None, "<p>same</p>"), (5, "again", rows[5][2]), (10**12, "far", "")]
