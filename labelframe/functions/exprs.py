@@ -81,11 +81,11 @@ def densify(df: DataFrame, keys: list[Column], name: str) -> DataFrame:
     if keys:
         n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
         df = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    marked = df.withColumns({"_part": F.spark_partition_id(), "_mono": F.monotonically_increasing_id()}).persist()
-    counts = {r["_part"]: r["count"] for r in marked.groupBy("_part").count().collect()}
+    marked = df.withColumns({"__labelframe_part": F.spark_partition_id(), "__labelframe_mono": F.monotonically_increasing_id()}).persist()
+    counts = {r["__labelframe_part"]: r["count"] for r in marked.groupBy("__labelframe_part").count().collect()}
     offsets, total = [], 0
     for part in range(max(counts, default=-1) + 1):
         offsets.append(total)
         total += counts.get(part, 0)
-    place = F.get(F.lit(offsets or [0]), F.col("_part")) + F.col("_mono").bitwiseAND((1 << 33) - 1)
-    return marked.withColumn(name, place.cast("long")).drop("_part", "_mono")
+    place = F.get(F.lit(offsets or [0]), F.col("__labelframe_part")) + F.col("__labelframe_mono").bitwiseAND((1 << 33) - 1)
+    return marked.withColumn(name, place.cast("long")).drop("__labelframe_part", "__labelframe_mono")

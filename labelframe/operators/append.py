@@ -25,7 +25,7 @@ def _stacked(tables: Sequence[Table], labels: list[str]):
     parts = []
     for i, t in enumerate(tables):
         t = t.with_rows()
-        parts.append(t.df.select(*[t.col(x) for x in labels], F.lit(i).alias("_table"), F.col(ROW).alias("_in")))
+        parts.append(t.df.select(*[t.col(x) for x in labels], F.lit(i).alias("__labelframe_table"), F.col(ROW).alias("__labelframe_in")))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
@@ -67,7 +67,7 @@ def append_tables(tables: Sequence[Table], callback: Callable[[float], None] | N
     if callback:
         callback(1.0)
     fields = [Field(x, types[x]) for x in first.labels]
-    return Table(df, fields, [Key("_table"), Key("_in")], first.metadata, dictionaries)
+    return Table(df, fields, [Key("__labelframe_table"), Key("__labelframe_in")], first.metadata, dictionaries)
 
 
 def append_columns(columns: Sequence, total_length: int, callback: Callable[[float], None] | None = None) -> Table:
@@ -84,7 +84,7 @@ def append_columns(columns: Sequence, total_length: int, callback: Callable[[flo
         kind = both
     parts = [c.as_table("value") for c in columns]
     spark = parts[0].df.sparkSession
-    df = densify(_stacked(parts, ["value"]), [F.col("_table").asc(), F.col("_in").asc()], ROW).where(F.col(ROW) < total_length)
+    df = densify(_stacked(parts, ["value"]), [F.col("__labelframe_table").asc(), F.col("__labelframe_in").asc()], ROW).where(F.col(ROW) < total_length)
     held = df.count()
     if held < total_length:
         pad = spark.range(held, total_length).select(F.lit(None).cast(df.schema["value"].dataType).alias("value"), F.col("id").alias(ROW))

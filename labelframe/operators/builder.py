@@ -97,8 +97,8 @@ class TableBuilder:
             mine = t.with_rows()
             if mine.height() != other.height():
                 raise ValueError(f"{other.height()} rows, not {mine.height()}")
-            side = other.df.select(F.col("value").alias("_value"), F.col(ROW).alias("_at"))
-            df, expr, kind, dictionary = mine.df.join(side, F.col(ROW) == F.col("_at")), F.col("_value"), column.type.id, other.dictionaries.get("value")
+            side = other.df.select(F.col("value").alias("__labelframe_value"), F.col(ROW).alias("__labelframe_at"))
+            df, expr, kind, dictionary = mine.df.join(side, F.col(ROW) == F.col("__labelframe_at")), F.col("__labelframe_value"), column.type.id, other.dictionaries.get("value")
             t = mine
         shown = [expr.alias(x) if x == label else t.col(x) for x in t.labels] + ([] if present else [expr.alias(label)])
         fields = [Field(label, kind) if f.label == label else f for f in t.fields] + ([] if present else [Field(label, kind)])

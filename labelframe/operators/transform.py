@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from labelframe.dictionary import MAX_CATEGORIES
 from labelframe.errors import TooManyCategoriesError
 from labelframe.functions.exprs import to_type
-from labelframe.operators.views import caller, cells, lowered, opaque
+from labelframe.operators.views import RowView, cells, lowered, opaque
 from labelframe.types import TypeId, for_id
 
 #: Folds that Spark has as aggregates, by the function given.
@@ -41,7 +41,7 @@ class _Transformer:
         self._callback = callback
         return self
 
-    def _call(self, function: Callable) -> Callable:
+    def _call(self, function: Callable, labels: list[str]) -> Callable:
         raise NotImplementedError
 
     def apply(self, view: str, out: TypeId, function: Callable, max_values: int | None = None, is_opaque: bool = False):
@@ -49,7 +49,7 @@ class _Transformer:
         from labelframe.table import TableColumn
 
         df, labels, seen, missing = cells(self.table, self.columns, view)
-        call = self._call(function)
+        call = self._call(function, labels)
         expr = None if is_opaque else lowered(call, seen, missing)
         if expr is None:
             expr = opaque(call, seen, missing, for_id(out).spark)
@@ -77,8 +77,6 @@ class _Transformer:
             if incomplete and reducer is operator.add:
                 return float("nan")
             return identity if value is None else reducer(identity, value)
-        from labelframe.operators.views import RowView
-
         df = df.orderBy(*self.table.order_exprs()) if self.table.order else df
         named = df.select(*[c.alias(f"c{i}") for i, c in enumerate(seen)])
 
@@ -112,7 +110,7 @@ class Transformer(_Transformer):
     def __init__(self, table, label: str):
         super().__init__(table, [label])
 
-    def _call(self, function):
+    def _call(self, function, labels):
         return lambda a: function(a[0])
 
     def reduce_numeric(self, identity_or_supplier, reducer, combiner=None):
@@ -134,8 +132,8 @@ class Transformer(_Transformer):
 class RowTransformer(_Transformer):
     """Over several columns: functions take a row view."""
 
-    def _call(self, function):
-        return caller(function, [*self.columns, ""], False) if len(self.columns) == 1 else caller(function, self.columns, False)
+    def _call(self, function, labels):
+        return lambda a: function(RowView(a, labels))
 
     def apply_numeric_pair_to_real(self, function, is_opaque: bool = False):
         """Two columns by a function of two numbers."""
@@ -158,7 +156,7 @@ class RowTransformer(_Transformer):
 
 
 class _Pair(_Transformer):
-    def _call(self, function):
+    def _call(self, function, labels):
         return lambda a: function(*a)
 
 

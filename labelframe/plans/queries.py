@@ -225,6 +225,36 @@ def q_filter_mixed(spark, d):
     return t.to_df().select(long("event_id"))
 
 
+@query(f"SELECT event_id FROM {INDEXED} WHERE idx <= 1 AND value > 20")
+def q_filter_mixed_index(spark, d):
+    """A nominal cell of a mixed row is read by its index, 0 where missing."""
+    t = events(spark, d).columns(["event_id", "value", "event_type"]).filter_mixed(["value", "event_type"], lambda r: (r.index(1) <= 1) & (r.numeric(0) > 20))
+    return t.to_df().select(long("event_id"))
+
+
+#: Five numbers, four of them missing in some rows.
+HOLES = "(SELECT event_id, CASE WHEN user_id % 7 <> 0 THEN value END AS value, CASE WHEN user_id % 5 <> 0 THEN value END AS b, CASE WHEN user_id % 3 <> 0 THEN value END AS c, CASE WHEN user_id % 2 <> 0 THEN value END AS d FROM events)"
+
+
+def holes(spark, d) -> Table:
+    given = read(spark, d, "events")
+    some = [F.when(F.col("user_id") % k != 0, F.col("value")).alias(n) for n, k in (("value", 7), ("b", 5), ("c", 3), ("d", 2))]
+    return Table.from_df(given.select("event_id", *some), order_by=["event_id"])
+
+
+@query(f"SELECT event_id FROM {HOLES} WHERE coalesce(value <> 5, TRUE) AND coalesce(b > 10, FALSE) OR coalesce(value < 1, FALSE)")
+def q_filter_missing_two_columns(spark, d):
+    """A missing cell differs from everything and is neither less nor more."""
+    t = holes(spark, d).filter_numeric(["value", "b"], lambda r: (r[0] != 5) & (r[1] > 10) | (r[0] < 1))
+    return t.to_df().select(long("event_id"))
+
+
+@query(f"SELECT event_id FROM {HOLES} WHERE (coalesce(value <> 5, TRUE) AND coalesce(b > 10, FALSE) OR coalesce(c < 1, FALSE)) AND coalesce(d <> 7, TRUE) AND event_id > 3")
+def q_filter_missing_five_columns(spark, d):
+    t = holes(spark, d).filter_numeric(["value", "b", "c", "d", "event_id"], lambda r: ((r[0] != 5) & (r[1] > 10) | (r[2] < 1)) & (r[3] != 7) & (r[4] > 3))
+    return t.to_df().select(long("event_id"))
+
+
 @query(f"SELECT event_id FROM {EVENTS} WHERE coalesce(NOT (value > 5), TRUE)")
 def q_filter_not_missing_logic(spark, d):
     """A missing value is not over 5, so it passes the negation."""
@@ -282,6 +312,11 @@ for _view, (_cols, _num, _num_sql, _text, _text_sql) in _VIEWS.items():
         ORACLE_SQL[_name] = f"SELECT event_id, {_sql} AS out FROM {INDEXED}"
 
 
+@query(f"SELECT event_id, value + nullif(idx, 0) AS out FROM {INDEXED}")
+def q_apply_mixed_index(spark, d):
+    return _applied(spark, d, ["value", "event_type"], "mixed", TypeId.REAL, lambda r: r.numeric(0) + r.numeric(1))
+
+
 @query("SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey, greatest(l_discount, l_tax) AS out FROM lineitem")
 def q_apply_pair_max(spark, d):
     t = lineitems(spark, d).columns(["l_orderkey", "l_discount", "l_tax"])

@@ -12,6 +12,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labelframe import meta
 from labelframe.dictionary import MAX_CATEGORIES, Dictionary
@@ -19,7 +20,9 @@ from labelframe.errors import TooManyCategoriesError, UnknownLabelError
 from labelframe.functions.exprs import densify, sort_keys, to_type
 from labelframe.types import Category, Order, TypeId, for_id, infer
 
-ROW = "_row"
+#: Columns that carry the order or pass between joins; labels may not begin like them.
+HIDDEN = "__labelframe_"
+ROW = f"{HIDDEN}row"
 #: Up to this many values, an index is found by a search in a literal; beyond, by a join.
 LITERAL_DICTIONARY = 256
 
@@ -57,6 +60,8 @@ class Table:
                 raise TypeError("labels are strings")
             if not x:
                 raise ValueError("labels are not empty")
+            if x.startswith(HIDDEN):
+                raise ValueError(f"labels don't begin with {HIDDEN!r}: {x!r}")
         if len(set(labels)) != len(labels):
             raise ValueError(f"labels are unique: {labels}")
         self.df, self.fields, self.order = df, tuple(fields), tuple(order)
@@ -70,15 +75,15 @@ class Table:
         """A table over a frame.  Strings are text unless ``types`` says nominal; NaN becomes missing; other Spark types are left out."""
         types = types or {}
         fields = [Field(f.name, types.get(f.name) or infer(f.dataType)) for f in df.schema.fields if f.name in types or infer(f.dataType)]
-        keys = [F.col(f"`{c}`").alias(f"_o{i}") for i, c in enumerate(order_by)] or [F.monotonically_increasing_id().alias("_o0")]
+        keys = [F.col(f"`{c}`").alias(f"__labelframe_o{i}") for i, c in enumerate(order_by)] or [F.monotonically_increasing_id().alias("__labelframe_o0")]
         metadata = {f.name: meta.from_json(f.metadata) for f in df.schema.fields}
         shown = [to_type(F.col(f"`{f.label}`"), f.type_id).alias(f.label) for f in fields]
-        return Table(df.select(*shown, *keys), fields, [Key(f"_o{i}") for i in range(len(keys))], metadata)
+        return Table(df.select(*shown, *keys), fields, [Key(f"__labelframe_o{i}") for i in range(len(keys))], metadata)
 
     @staticmethod
     def empty(spark: SparkSession, height: int) -> Table:
         """A table without columns; it has a height all the same."""
-        return Table(spark.range(height).select(F.col("id").alias("_o0")), [], [Key("_o0")])
+        return Table(spark.range(height).select(F.col("id").alias("__labelframe_o0")), [], [Key("__labelframe_o0")])
 
     # ---- introspection
 
@@ -205,16 +210,16 @@ class Table:
         if isinstance(positions, int):
             return self.slice(positions, end)
         spark = self.df.sparkSession
-        wanted = spark.createDataFrame(list(enumerate(map(int, positions))), "_pos long, _at long")
-        # The caller's own list is the broadcast side; it came from the driver's memory.
-        df = F.broadcast(wanted).join(self.numbered(), F.col("_at") == F.col(ROW), "left") if len(positions) > 1 << 20 else self._picked(wanted)
-        return self._with(df.select(*[self.col(x) for x in self.labels], F.col("_pos").alias(ROW)), order=[Key(ROW)])
+        wanted = spark.createDataFrame(list(enumerate(map(int, positions))), "__labelframe_pos long, __labelframe_at long")
+        # A list of up to 16 MB is sent to the executors; a longer one is joined by a shuffle.
+        df = self._picked(wanted) if len(positions) <= 1 << 20 else wanted.join(self.numbered(), F.col("__labelframe_at") == F.col(ROW), "left")
+        return self._with(df.select(*[self.col(x) for x in self.labels], F.col("__labelframe_pos").alias(ROW)), order=[Key(ROW)])
 
     def _picked(self, wanted: DataFrame) -> DataFrame:
         """Only wanted rows leave the large side; then missing positions are filled in."""
         own = self.numbered()
-        few = own.join(F.broadcast(wanted.select("_at").distinct()), F.col(ROW) == F.col("_at"), "left_semi")
-        return wanted.join(few, F.col("_at") == F.col(ROW), "left")
+        few = own.join(F.broadcast(wanted.select("__labelframe_at").distinct()), F.col(ROW) == F.col("__labelframe_at"), "left_semi")
+        return wanted.join(few, F.col("__labelframe_at") == F.col(ROW), "left")
 
     def sort(self, columns: str | int | Sequence[str | int], orders: Order | Sequence[Order] = Order.ASCENDING) -> Table:
         """Stable sort; missing last ascending, first descending."""
@@ -233,7 +238,7 @@ class Table:
                 continue
             seen.add(f.label)
             for e in _key_values(self.col(f.label), f.type_id):
-                while (name := f"_s{n}") in used:
+                while (name := f"__labelframe_s{n}") in used:
                     n += 1
                 used.add(name)
                 df = df.withColumn(name, e)
@@ -287,8 +292,11 @@ class Table:
             raise TypeError(f"{label!r} is not categorical")
         if label not in self.dictionaries:
             c = self.col(label)
-            first = F.min(F.struct(*[_ascending(k) for k in self.order]))
-            values = self.df.where(c.isNotNull()).groupBy(c.alias("v")).agg(first.alias("at"))
+            if all(k.ascending or isinstance(self.df.schema[k.column].dataType, (T.NumericType, T.DateType, T.TimestampType, T.BooleanType)) for k in self.order):
+                df, first = self.df, F.min(F.struct(*[_ascending(k) for k in self.order]))
+            else:  # what can't be negated is numbered
+                df, first = self.numbered(), F.min(F.struct(F.struct(F.col(ROW).alias("at"))))
+            values = df.where(c.isNotNull()).groupBy(c.alias("v")).agg(first.alias("at"))
             values = values.limit(MAX_CATEGORIES + 1).collect()  # beyond the bound it raises
             if len(values) > MAX_CATEGORIES:
                 raise TooManyCategoriesError(f"{label!r} has more than {MAX_CATEGORIES} values")
@@ -303,9 +311,9 @@ class Table:
             if len(d.values) <= LITERAL_DICTIONARY:
                 out[label] = F.coalesce(F.array_position(F.lit(list(d.values)), self.col(label)), F.lit(0)).cast("int") if any(v is not None for v in d.values) else F.lit(0)
             else:
-                side = df.sparkSession.createDataFrame([(e.value, e.index) for e in d], f"_v{n} string, _i{n} int")
-                df = df.join(F.broadcast(side), self.col(label) == F.col(f"_v{n}"), "left")  # at most MAX_CATEGORIES rows
-                out[label] = F.coalesce(F.col(f"_i{n}"), F.lit(0))
+                side = df.sparkSession.createDataFrame([(e.value, e.index) for e in d], f"__labelframe_v{n} string, __labelframe_i{n} int")
+                df = df.join(F.broadcast(side), self.col(label) == F.col(f"__labelframe_v{n}"), "left")  # at most MAX_CATEGORIES rows
+                out[label] = F.coalesce(F.col(f"__labelframe_i{n}"), F.lit(0))
         return df, out
 
 

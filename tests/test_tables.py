@@ -158,3 +158,38 @@ def test_generators(spark):
         new_table_builder(3, spark).add_nominal("n", lambda i: f"v{int(i)}", 2)
     with pytest.raises(ValueError):
         new_table_builder(t).add_real("n", lambda i: i)
+
+
+def test_missing_cells_compare_alike_for_any_number_of_columns(spark):
+    """A missing cell differs from everything and is neither less nor more, in plans and in Python, with two columns and with five."""
+    rows = [(1.0, 5.0, 1.0, 1.0, 1.0), (None, 5.0, 1.0, 1.0, 1.0), (5.0, None, None, 1.0, 1.0), (None, None, None, None, None), (5.0, 1.0, 1.0, 1.0, 1.0)]
+    t = Table.from_df(spark.createDataFrame(rows, "a double, b double, c double, d double, e double"))
+    for labels in (["a", "b"], ["a", "b", "c", "d", "e"]):
+        for some, kept in ((lambda r: (r[0] != 5) | (r[1] > 3), 3), (lambda r: r[0] != 5, 3), (lambda r: (r[0] == 5) & (r[1] < 3), 1)):
+            for is_opaque in (False, True):
+                assert t.filter_numeric(labels, some, is_opaque).height() == kept
+
+
+def test_mixed_rows_read_nominal_cells_in_three_ways(spark):
+    df = spark.createDataFrame([("x", 1.0), ("y", 2.0), (None, 3.0), ("x", 4.0)], "n string, a double").coalesce(1)
+    t = Table.from_df(df, {"n": TypeId.NOMINAL}).sort("a")
+    for is_opaque in (False, True):
+        height = lambda some: t.filter_mixed(["n", "a"], some, is_opaque).height()  # noqa: E731, B023
+        assert height(lambda r: r.index(0) == 1) == 2
+        assert height(lambda r: r.index("n") == 0) == 1
+        assert height(lambda r: r.numeric(0) > 1) == 1
+        assert height(lambda r: (r.object(0) == "x") & (r.numeric(1) > 1)) == 1
+
+
+def test_own_columns_named_like_hidden_ones(spark):
+    df = spark.createDataFrame([("b", 1), ("a", 2)], "_row string, _o0 long")
+    t = Table.from_df(df).with_rows().sort("_row")
+    assert [tuple(r) for r in t.df.select("_row", "_o0").collect()] in ([("a", 2), ("b", 1)], [("b", 1), ("a", 2)])
+    with pytest.raises(ValueError):
+        Table.from_df(spark.createDataFrame([(1,)], "__labelframe_row long"))
+
+
+def test_dictionary_after_a_descending_text_sort(spark):
+    df = spark.createDataFrame([("x", "p"), ("y", "q"), ("x", "r")], "n string, s string")
+    t = Table.from_df(df, {"n": TypeId.NOMINAL}).sort("s", Order.DESCENDING)
+    assert t.dictionary("n").values == ("x", "y")
