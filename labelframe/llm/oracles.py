@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from labelframe.llm.common import UPPER
-from labelframe.llm.url_filters import HOST_RULES, PATTERN_RULES
+from labelframe.llm.url_filters import PATTERN_RULES
 
 _ALPHABET = UPPER + "234567"
 
@@ -16,12 +16,21 @@ def warc() -> str:
 SELECT page_id, payload_bytes, {digest} AS payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to FROM d"""
 
 
+#: The contract's rules, longest first (fixed values): what is shown, verdict, host, begin of the path.
+RULES = (
+    ("example.net/de/8", "block", "example.net", "/de/8"),
+    ("example.com/en/7", "allow", "example.com", "/en/7"),
+    ("com/en/", "block", "com", "/en/"),
+    ("net/de/", "allow", "net", "/de/"),
+    ("org/es/", "block", "org", "/es/"),
+)
+
+
 def url_filters() -> str:
-    """Host rules by length, longest first; then block patterns unless an allow pattern matches."""
-    location = "(host || path)"
-    fits = [(r, f"regexp_matches({location}, '^{r.regex}')") for r in sorted(HOST_RULES, key=lambda r: -len(r.text))]
-    rule = " ".join(f"WHEN {c} THEN '{r.text}'" for r, c in fits)
-    verdict = " ".join(f"WHEN {c} THEN '{r.action}'" for r, c in fits)
+    """Host rules, longest first; then block patterns unless an allow pattern matches."""
+    fits = [(r, f"(host = '{r[2]}' OR ends_with(host, '.{r[2]}')) AND starts_with(path, '{r[3]}')") for r in RULES]
+    rule = " ".join(f"WHEN {c} THEN '{r[0]}'" for r, c in fits)
+    verdict = " ".join(f"WHEN {c} THEN '{r[1]}'" for r, c in fits)
     some = {a: " OR ".join("regexp_matches(rest, '{}', 's')".format(r.regex.replace("\\Z", "$")) for r in PATTERN_RULES if r.action == a) for a in ("block", "allow")}
     verdict += f" WHEN ({some['block']}) AND NOT ({some['allow']}) THEN 'block' ELSE 'allow'"
     return f"""WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS raw FROM pages),
