@@ -92,7 +92,7 @@ def replace_values(table: Table, label: str, mapping: dict[str, str]) -> Table:
     if len(own) <= LITERAL_DICTIONARY:
         changed = F.coalesce(F.get(F.lit(list(own.values())), (F.array_position(F.lit(list(own)), c) - 1).cast("int")), c)
         return _declared(_replace(table, label, changed), label, after)
-    side = table.df.sparkSession.createDataFrame(list(own.items()), "__labelframe_old string, _new string")
+    side = table.df.sparkSession.createDataFrame(list(own.items()), "__labelframe_old string, __labelframe_new string")
     df = table.df.join(F.broadcast(side), c == F.col("__labelframe_old"), "left")  # bounded as the dictionary is
     shown = [F.coalesce("__labelframe_new", c).alias(x) if x == label else table.col(x) for x in table.labels]
     return _declared(table._with(df.select(*shown, *table._hidden())), label, after)

@@ -91,7 +91,14 @@ class RowView:
     def get(self, position: int | str):
         return self._cells[self._at(position)]
 
-    __getitem__ = object = get
+    __getitem__ = get
+
+    def object(self, position: int | str, kind: type | None = None):
+        """The value; with ``kind``, a present one of another class raises."""
+        value = self.get(position)
+        if kind is not None and value is not None and not isinstance(value, (kind, Column)):
+            raise TypeError(f"{value!r} is no {kind.__name__}")
+        return value
 
     def index(self, position: int | str):
         """The category index of a nominal cell, 0 where missing; other cells as they are."""

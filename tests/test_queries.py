@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+import labelframe.plans.surface  # noqa: F401  registers its queries
 from labelframe.plans.queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
