@@ -100,7 +100,7 @@ def random_strings(spark: SparkSession, n: int = SAMPLE_RANDOM) -> DataFrame:
 
 
 def identifiers(spark: SparkSession, n: int = 2 * SAMPLE_RANDOM) -> DataFrame:
-    """(token) of ``n`` ordinary identifiers of each style: snake, kebab and camel case, paths, and such with numbers or dates."""
+    """(token) of ``n`` ordinary identifiers of each style: snake, kebab and camel case, paths, such with numbers or dates, words run together, long numbers, stretches of the alphabet, rules of one character."""
     words = F.lit(IDENTIFIER_WORDS)
 
     def word(k: int) -> Column:
@@ -112,6 +112,9 @@ def identifiers(spark: SparkSession, n: int = 2 * SAMPLE_RANDOM) -> DataFrame:
     camel = F.array_join(F.transform(some, lambda w, i: F.when(i == 0, w).otherwise(F.initcap(w))), "")
     joined = [F.array_join(some, mark) for mark in ("_", "-", "/")]
     styles = [*joined, camel, F.initcap(camel), F.upper(joined[0]), F.concat(joined[0], F.lit("_"), number), F.concat(camel, number), F.concat(joined[2], F.lit("/"), number), F.concat(joined[1], F.lit("-"), date), F.concat(joined[2], F.lit("/"), date, F.lit("/"), joined[1])]
+    mark = F.substring(F.lit(ALPHABET), (1 + F.pmod("id", F.lit(len(ALPHABET)))).cast("int"), F.lit(1))
+    stretch = F.substring(F.lit(ALPHABET), (1 + F.pmod("id", F.lit(62))).cast("int"), (4 + F.pmod(F.xxhash64("id", F.lit("s")), F.lit(37))).cast("int"))
+    styles += [F.array_join(some, ""), F.upper(F.array_join(some, "")), stretch, F.abs(F.xxhash64("id", F.lit("l"))).cast("string"), F.repeat(mark, (4 + F.pmod(F.xxhash64("id", F.lit("r")), F.lit(37))).cast("int"))]
     return spark.range(n).select(F.explode(F.array(*styles)).alias("token"))
 
 
@@ -167,12 +170,29 @@ def log_ratio(token: Column, weights: list[float]) -> Column:
     return F.aggregate(F.split(token, ""), F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("last")), step, lambda acc: acc["sum"])
 
 
+def _outside(x: Column, base: Column) -> Column:
+    """The parts of a token that the base spans, sorted by start, leave, if of ``LEAST_TOKEN`` characters or more."""
+
+    def part(start: Column, end: Column) -> Column:
+        value = F.substring(x["value"], (start - x["start"] + 1).cast("int"), (end - start).cast("int"))
+        one = F.array(F.struct(start.alias("start"), x["kind"].alias("kind"), end.alias("end"), value.alias("value"))).cast(_SPANS)
+        return F.when(end - start >= LEAST_TOKEN, one).otherwise(F.array().cast(_SPANS))
+
+    def step(acc: Column, b: Column) -> Column:
+        return F.struct(F.greatest(acc["at"], F.least(b["end"], x["end"])).alias("at"), F.concat(acc["out"], part(acc["at"], b["start"])).alias("out"))
+
+    touching = F.filter(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    start = F.struct(x["start"].alias("at"), F.array().cast(_SPANS).alias("out"))
+    cut = F.aggregate(touching, start, step, lambda acc: F.concat(acc["out"], part(acc["at"], x["end"])))
+    return F.when(F.size(touching) > 0, cut).otherwise(F.array(x).cast(_SPANS))
+
+
 def scan(df: DataFrame, weights: list[float], text_col: str = "text", log_odds: float = LOG_ODDS) -> DataFrame:
     """``df`` with ``base`` and ``found``: arrays of (start, kind, end, value) by start and kind; ``found`` has the models' spans too.
 
-    Places are in code points, ends exclusive; kinds number ``KINDS``.  The models judge runs of 16
-    or more characters with a letter and a digit that touch no base span.  One narrow pass without
-    a shuffle.  Null and empty texts have no spans; long texts are scanned whole; repeated rows are
+    Places are in code points, ends exclusive; kinds number ``KINDS``.  The models judge all runs of 16
+    or more characters, and where base spans cut a run, each part of 16 or more that they leave.  One narrow
+    pass without a shuffle.  Null and empty texts have no spans; long texts are scanned whole; repeated rows are
     scanned alike; input columns named ``base`` or ``found`` give way; an empty table gives an empty result.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -181,12 +201,11 @@ def scan(df: DataFrame, weights: list[float], text_col: str = "text", log_odds:
     out = out.select(*names, base_spans(text).alias("base"), _when(text, text.rlike(TOKEN), _found(text, 3, TOKEN, LEAST_TOKEN)).alias(hidden))
     base = F.col("base")
 
-    def secret(x: Column) -> Column:
-        mixed = x["value"].rlike("[0-9]") & x["value"].rlike("[A-Za-z]")
-        apart = ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-        return mixed & apart & (log_ratio(x["value"], weights) > log_odds)
+    def judged(tokens: Column) -> Column:
+        return F.filter(tokens, lambda x: log_ratio(x["value"], weights) > log_odds)
 
-    tokens = F.when(F.size(hidden) > 0, F.filter(hidden, secret)).otherwise(F.array().cast(_SPANS))
+    whole = F.when(F.size(base) > 0, F.flatten(F.transform(hidden, lambda x: _outside(x, base)))).otherwise(F.col(hidden))
+    tokens = F.when(F.size(hidden) > 0, judged(whole)).otherwise(F.array().cast(_SPANS))
     return out.select(*names, "base", F.array_sort(F.concat(base, tokens)).alias("found"))
 
 
