@@ -241,7 +241,7 @@ def q_read_rows(spark, d):
         price = [None if v != v else v for v in (row.numeric("price"), cells[1])]
         out.append((mixed.position(), row.object("n_name", str), price[0], row.index("ending"), row.numeric(3), objects.width(), not mixed.has_remaining(), objects.get(1), price[1]))
         assert categories.get(0) == row.index(3)
-    return spark.createDataFrame(out, "pos long, name string, price double, idx int, number double, width int, last boolean, ending string, again double")
+    return spark.createDataFrame(out, "pos long, name string, price double, idx long, number double, width int, last boolean, ending string, again double")
 
 
 # ---- gathers and contexts
@@ -347,7 +347,7 @@ def q_column_fill(spark, d):
     t = nations(spark, d)
     numbers, indices, objects = t.column("price").fill(4, 10, "numeric"), t.column("ending").fill(4, 10, "categorical"), t.column("n_name").fill(4, 10)
     rows = [(i + 4, None if x != x else x, k, o) for i, (x, k, o) in enumerate(zip(numbers, indices, objects, strict=True))]
-    return spark.createDataFrame(rows, "pos long, number double, idx int, name string")
+    return spark.createDataFrame(rows, "pos long, number double, idx long, name string")
 
 
 # ---- filters and predicates
