@@ -62,7 +62,7 @@ def q_write_mixed_rows(spark, d):
         for i, v in enumerate([name, price, price or 0.0, ending, [ending, "x", ending], [ending, "x", ending], pos * 1_000_000_000, START + dt.timedelta(days=pos)]):
             w.set(i, v)
     t = w.create(spark)
-    shown = [F.array_join(c, "|").alias(c) if c in ("tags", "parts") else F.col(c) for c in labels]
+    shown = [F.array_join(c, "|").alias(c) if c in ("tags", "parts") else F.col(c).cast("timestamp_ntz").alias(c) if c == "moment" else F.col(c) for c in labels]
     return t.df.select(F.col(ROW).alias("pos"), *shown, F.lit(w.width() - 1).alias("width"))
 
 
