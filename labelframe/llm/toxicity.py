@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import islice
+from itertools import chain, islice
 from zlib import crc32
 
 import numpy as np
@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelframe.llm.common import Memo, bucket_of, drop_table, kept, without, write_table
+from labelframe.llm.contexts import numbers_of, planes, squeezed, unsqueezed
 
 BUCKETS = 1 << 16
 DIM = 16
@@ -320,20 +321,27 @@ def _shards(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[str],
         yield shard, texts, np.array(labels, int)
 
 
-def _added(rows: DataFrame, run: Callable[[Iterator[tuple[int, list[str], np.ndarray]]], list[np.ndarray]]) -> list[np.ndarray]:
-    """What ``run`` makes of a task's shards, a fixed number of arrays, added up by Spark."""
+def _added(rows: DataFrame, run: Callable[[Iterator[tuple[int, list[str], np.ndarray]]], list[np.ndarray]], whole: int) -> list[np.ndarray]:
+    """What ``run`` makes of a task's shards, a fixed number of arrays, added up by Spark.
+
+    The driver gets the sums packed: the first ``whole`` arrays as they are, the others as 32-bit floats, as the model
+    is sent out.  Tasks without a shard, of which there may be many, send nothing.
+    """
 
     def mapped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrays = run(_shards(batches))
-        for piece, values in enumerate(arrays):
+        shards = _shards(batches)
+        if (first := next(shards, None)) is None:
+            return
+        for piece, values in enumerate(run(chain([first], shards))):
             yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int64()), pa.array([values.astype(np.float64).tobytes()], pa.binary())], names=["piece", "data"])
 
     def add(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(x, np.float64) for x in parts["data"])
-        return pd.DataFrame({"piece": [key[0]], "data": [total.tobytes()]})
+        return pd.DataFrame({"piece": [key[0]], "data": [squeezed(planes(total.astype(np.float64 if key[0] < whole else np.float32)))]})
 
     schema = "piece long, data binary"
-    return [np.frombuffer(r["data"], np.float64) for r in sorted(rows.mapInArrow(mapped, schema).groupBy("piece").applyInPandas(add, schema).collect())]
+    sums = sorted(rows.mapInArrow(mapped, schema).groupBy("piece").applyInPandas(add, schema).collect())
+    return [numbers_of(unsqueezed(r["data"]), np.float64 if r["piece"] < whole else np.float32).astype(np.float64) for r in sums]
 
 
 def _known() -> Memo:
@@ -354,7 +362,7 @@ def _counted(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             n += np.bincount(y, minlength=2)
         return [met.ravel(), n]
 
-    met, n = _added(rows, run)
+    met, n = _added(rows, run, 2)
     return met.reshape(2, BUCKETS), n
 
 
@@ -380,8 +388,8 @@ def _epoch(rows: DataFrame, state: State, epoch: int, s: Settings) -> State:
             n += len(y)
         return [np.append(more.ravel(), n), *[np.concatenate([sums[:, a:b].ravel(), met[a:b]]) for a, b in zip(cuts, cuts[1:], strict=False)]]
 
-    first, *pieces = _added(rows, run)
-    shared.unpersist()
+    first, *pieces = _added(rows, run, 1)
+    shared.destroy()  # the driver's copy too, else each epoch's stays there
     more = first[:-1].reshape(2, -1) / first[-1]
     _set_dense(m, _dense(m) + more[0])
     state.dense_squares += more[1]
@@ -408,7 +416,9 @@ def _bins(rows: DataFrame, m: Model) -> DataFrame:
 
     scored = rows.select(F.coalesce("lang", F.lit("")).alias("lang"), "toxic", odds("text").alias("z"))
     sums = [F.count("*").alias("n"), F.sum("toxic").alias("pos"), F.sum("z").alias("total"), F.min("z").alias("low"), F.max("z").alias("high")]
-    return write_table(scored.groupBy("lang", F.floor(F.col("z") * BINS).alias("bin")).agg(*sums), "bins")
+    bins = write_table(scored.groupBy("lang", F.floor(F.col("z") * BINS).alias("bin")).agg(*sums), "bins")
+    shared.destroy()
+    return bins
 
 
 def calibrate(m: Model, bins: DataFrame, least: int = 40) -> None:
@@ -476,8 +486,9 @@ def fit(documents: DataFrame, labels: DataFrame, settings: Settings | None = Non
     table = write_table(dealt, "labelled", "zstd")
     drop_table(joined)
     seen = table.where(~F.col("unseen")).select("shard", "text", "toxic")
-    m = train([], [], settings=s)
-    if not seen.isEmpty():
+    if seen.isEmpty():
+        m = train([], [], settings=s)
+    else:
         met, n = _counted(seen)
         state = State.of(_start(met[1], met[0], n[1], n[0], np.random.default_rng(s.seed)))
         for epoch in range(s.epochs):
