@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from enum import Enum
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from labelframe.dictionary import Dictionary
-from labelframe.table import LITERAL_DICTIONARY, Table
+from labelframe.table import LITERAL_DICTIONARY, Table, met
 
 
 class CleanupOption(Enum):
@@ -84,7 +85,8 @@ def replace_single(table: Table, label: str, old: str, new: str) -> Table:
 def replace_values(table: Table, label: str, mapping: dict[str, str]) -> Table:
     """Rename categories at once; absent old values are ignored; two that meet raise."""
     d = table.dictionary(label)
-    own = {k: v for k, v in mapping.items() if k in d.inverse()}
+    known = d.inverse()
+    own = {k: v for k, v in mapping.items() if k in known}
     after = d.replaced(own)
     c = table.col(label)
     if not own:
@@ -92,7 +94,6 @@ def replace_values(table: Table, label: str, mapping: dict[str, str]) -> Table:
     if len(own) <= LITERAL_DICTIONARY:
         changed = F.coalesce(F.get(F.lit(list(own.values())), (F.array_position(F.lit(list(own)), c) - 1).cast("int")), c)
         return _declared(_replace(table, label, changed), label, after)
-    side = table.df.sparkSession.createDataFrame(list(own.items()), "__labelframe_old string, __labelframe_new string")
-    df = table.df.join(F.broadcast(side), c == F.col("__labelframe_old"), "left")  # bounded as the dictionary is
+    df = met(table.df, c, table._hidden(), "__labelframe_old", list(own), "__labelframe_new", pa.array(own.values(), pa.string()))
     shown = [F.coalesce("__labelframe_new", c).alias(x) if x == label else table.col(x) for x in table.labels]
     return _declared(table._with(df.select(*shown, *table._hidden())), label, after)
